@@ -48,13 +48,19 @@ def normal(text: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """array<int>: the sorted distinct signatures of a text."""
-    spaced = normal(text)
-    content = F.split(F.trim(F.regexp_replace(spaced, PATTERN, f"$1{GLUE}")), " +")
+    content = F.split(F.trim(F.regexp_replace(normal(text), PATTERN, f"$1{GLUE}")), " ")
     word = lambda w: F.substring_index(w, GLUE, -1)
-    chains = F.zip_with(content, F.slice(content, 2, F.greatest(F.size(content) - 1, F.lit(0))), lambda a, b: F.when((F.instr(a, GLUE) > 0) & (word(a) != "") & (word(b) != ""), F.hash(F.substring_index(a, GLUE, -2), word(b))))
-    found = F.array_sort(F.array_distinct(F.array_compact(chains)))
+
+    def chains(content: Column, later: Column) -> Column:
+        pairs = F.zip_with(content, later, lambda a, b: F.when((F.instr(a, GLUE) > 0) & b.isNotNull() & ~F.endswith(b, F.lit(GLUE)), F.hash(F.substring_index(a, GLUE, -2), word(b))))
+        return F.sort_array(F.array_distinct(F.array_compact(pairs)))
+
+    # Each transform over one element names what it holds, so that it is computed once.
+    bound = F.transform(F.array(F.struct(content.alias("c"))), lambda x: F.struct(x["c"].alias("c"), F.slice(x["c"], 2, F.greatest(F.size(x["c"]) - 1, F.lit(0))).alias("d")))
+    bound = F.transform(bound, lambda x: F.struct(x["c"].alias("c"), chains(x["c"], x["d"]).alias("s")))
     none = F.array().cast("array<int>")
-    return F.when(F.size(found) > 0, found).when(F.trim(spaced) == "", none).otherwise(F.array(F.hash(F.trim(spaced))))
+    whole = lambda x: F.when(F.element_at(x["c"], 1) == "", none).otherwise(F.array(F.hash(x["c"])))
+    return F.element_at(F.transform(bound, lambda x: F.when(F.size(x["s"]) > 0, x["s"]).otherwise(whole(x))), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
