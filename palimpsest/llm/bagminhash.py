@@ -4,7 +4,7 @@ A document is the bag of its five-word shingles, each weighted by how often it o
 shingle). Points of a Poisson process over (time, weight level) belong to each shingle; level intervals double in width,
 [0,1), [1,2), [2,4) ..., and a point counts if its level lies below the shingle's weight. Each point falls on one of the
 signature's components, which keep their earliest time. Two bags agree on a component with probability equal to their
-weighted Jaccard similarity. Bags that share a band are compared with a hub of that bucket, then across the classes that
+weighted Jaccard similarity. Bags that share a band are compared with hubs of that bucket, then across the classes that
 remain in it; a link needs a multiset overlap (sum of minima by sum of maxima) of the threshold or more.
 
 Defined cases: a null text counts as empty; texts without a word form one class; equal texts (up to case and white space)
@@ -29,6 +29,8 @@ from . import common as C
 WORDS, THRESHOLD = 5, 0.8
 #: With 26 bands of 5, a pair at 0.8 shares no band with probability 3e-5.
 BANDS, BAND_ROWS = 26, 5
+#: Members up to which a group's classes are compared by pairs, and members of a block beyond.
+SMALL, BLOCK = 24, 256
 _U = C.U64
 
 
@@ -122,12 +124,12 @@ def _verify(k: int):
     return run
 
 
-def verified(edges: DataFrame, signed: DataFrame, text_col: str, k: int, threshold: float) -> DataFrame:
-    """The edges (__a, __b: rows) whose texts overlap by the threshold or more. Only texts that stand in an edge move."""
+def compared(edges: DataFrame, signed: DataFrame, text_col: str, k: int) -> DataFrame:
+    """The edges (__a, __b: rows) with the overlap of their texts. Only texts that stand in an edge move."""
     ids = C.written(edges.select(F.explode(F.array("__a", "__b")).alias("__row")).distinct(), "ids")
     texts = C.looked_up(signed.select("__row", F.col(text_col).alias("__t")), ids, ["__row"])
     a, b = texts.select(F.col("__row").alias("__a"), F.col("__t").alias("__ta")), texts.select(F.col("__row").alias("__b"), F.col("__t").alias("__tb"))
-    return edges.join(a, "__a").join(b, "__b").select("__a", "__b", "__ta", "__tb").mapInArrow(_verify(k), "__a long, __b long, __sim double").where(F.col("__sim") >= threshold)
+    return edges.join(a, "__a").join(b, "__b").select("__a", "__b", "__ta", "__tb").mapInArrow(_verify(k), "__a long, __b long, __sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,30 +151,96 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("__comp").alias("__node"), "__comp").distinct())
 
 
+def _bags(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in C.text_chunks(batch.column("__t")):
+                part = batch.slice(a, b - a)
+                h, d, w = shingles(*C.raw_bytes(pc.utf8_lower(pc.fill_null(part.column("__t"), ""))), k)
+                # An element for each occurrence, so that overlaps of bags are those of sets.
+                copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                elements, size = C.mix(np.repeat(h, w) ^ (copy.astype(_U) << _U(48))), np.bincount(d, w, minlength=b - a).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array([elements[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=["__row", "__bag"])
+
+    return run
+
+
+def _blocks(threshold: float):
+    """One link for each two classes that have one within the block pair."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        one = pc.equal(table.column("__mine"), key[1].as_py() if hasattr(key[1], "as_py") else key[1])
+        nodes, comps = table.column("__node").to_numpy(), table.column("__comp").to_numpy()
+        bags = [np.frombuffer(x, dtype=_U) for x in table.column("__bag").to_pylist()]
+        size = np.array([len(x) for x in bags])
+        elements, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+        _, at, count = np.unique(elements, return_inverse=True, return_counts=True)
+        shared = count > 1
+        column = (np.cumsum(shared) - 1)[at]
+        keep = shared[at]
+        column, owner = column[keep], owner[keep]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(bags), len(bags)), dtype=np.float32)
+        for start in range(0, int(shared.sum()), 4096):
+            x, y = np.searchsorted(column, [start, start + 4096])
+            m = np.zeros((len(bags), 4096), dtype=np.float32)
+            m[owner[x:y], column[x:y] - start] = 1
+            both += m @ m.T
+        link = both / np.maximum(size[:, None] + size[None, :] - both, 1) >= threshold - 1e-7
+        link &= comps[:, None] < comps[None, :]
+        side = one.to_numpy()
+        link &= (side[:, None] != side[None, :]) | np.bool_(side.all())
+        a, b = np.nonzero(link)
+        _, first = np.unique(np.stack([comps[a], comps[b]], axis=1), axis=0, return_index=True)
+        a, b = a[first], b[first]
+        return pa.table({"__a": pa.array(nodes[a], pa.int64()), "__b": pa.array(nodes[b], pa.int64()), "__sim": pa.array([float(threshold)] * len(a), pa.float64())})
+
+    return run
+
+
+def across(open_: DataFrame, signed: DataFrame, text_col: str, k: int, threshold: float) -> DataFrame:
+    """Links between different classes inside large groups (__hub, __node, __comp, __n): block by block of about BLOCK members,
+    so that a row stands for a member in a pair of blocks, not for a pair of members."""
+    ids = C.written(open_.select(F.col("__node").alias("__row")).distinct(), "ids")
+    texts = C.looked_up(signed.select("__row", F.col(text_col).alias("__t")), ids, ["__row"])
+    bags = texts.mapInArrow(_bags(k), "__row long, __bag binary").withColumnRenamed("__row", "__node")
+    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
+    rows = open_.withColumn("__mine", F.pmod(F.xxhash64("__node"), blocks).cast("int")).join(bags, "__node")
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("__hub", "__node", "__comp", "__bag", "__mine", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"))
+    return rows.groupBy("__hub", "__i", "__j").applyInArrow(_blocks(threshold), "__a long, __b long, __sim double")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """Every row of docs with __class (smallest id of its class), __first (one row of each class) and its internal columns.
 
-    Copies collapse by the digest of their words before any comparison. A bucket costs one comparison a member, against
-    its smallest row; only members of buckets that still hold several classes, and more than two rows, are then compared
-    across those classes. Every pair of different texts that shares a band is thus compared or already in one class.
+    Copies collapse by the digest of their words before any comparison. Rows that share a bucket form a group with the
+    bucket's smallest row, its hub, and are compared with it. In groups of more than two rows and more than one class the
+    classes are then compared with each other: in small groups by pairs, unless their distances to the hub differ by more
+    than a link may be long (one less the overlap is a metric), in large ones by blocks. So every pair of different texts
+    that shares a band is compared, or already in one class, or proven to be no link.
     """
     signed = C.written(docs.mapInArrow(_signed(docs.columns.index(text_col), k, bands, rows), C.with_fields(docs, __row="long", __digest="binary", __bands="array<long>")), "signed")
     nodes = C.written(signed.groupBy("__digest").agg(F.min("__row").alias("__node"), F.min(id_col).alias("__id")), "nodes")
     buckets = C.written(signed.select("__row", "__bands").join(nodes.select(F.col("__node").alias("__row")), "__row", "left_semi").select(F.col("__row").alias("__node"), F.explode("__bands").alias("__bucket")).where("__bucket <> 0"), "buckets")
-    shared = C.written(buckets.groupBy("__bucket").agg(F.min("__node").alias("__hub"), F.count("*").alias("__n")).where("__n > 1"), "shared")
-    near = C.written(buckets.join(shared, "__bucket"), "near")
-    tested = C.written(near.where("__node <> __hub").select(F.col("__hub").alias("__a"), F.col("__node").alias("__b")).distinct(), "tested")
-    links = C.written(verified(tested, signed, text_col, k, threshold), "verified")
-    comps = C.written(components(links), "components")
-    open_ = near.where("__n > 2").select("__bucket", "__node").join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
-    mixed = open_.groupBy("__bucket").agg(F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo <> __hi").select("__bucket")
-    left = C.written(open_.join(mixed, "__bucket"), "open")
-    right = left.select("__bucket", F.col("__node").alias("__b"), F.col("__comp").alias("__other"))
-    across = left.join(right, "__bucket").where("__comp < __other").select(F.least("__node", "__b").alias("__a"), F.greatest("__node", "__b").alias("__b")).distinct().join(tested, ["__a", "__b"], "left_anti")
-    across = C.written(across, "across")
-    if across.limit(1).count():
-        more = verified(across, signed, text_col, k, threshold)
-        comps = C.written(components(C.written(links.unionByName(more), "verified")), "components")
+    shared = C.written(buckets.groupBy("__bucket").agg(F.min("__node").alias("__hub"), F.count("*").alias("__n")).where("__n > 1").drop("__n"), "shared")
+    near = buckets.join(shared, "__bucket").where("__node <> __hub").select("__hub", "__node").distinct()
+    tested = C.written(compared(near.select(F.col("__hub").alias("__a"), F.col("__node").alias("__b")), signed, text_col, k), "tested")
+    comps = C.written(components(tested.where(F.col("__sim") >= threshold)), "components")
+    members = tested.select(F.col("__a").alias("__hub"), F.col("__b").alias("__node"), F.col("__sim").alias("__near"))
+    members = members.unionByName(members.select("__hub", F.col("__hub").alias("__node"), F.lit(1.0).alias("__near")).distinct()).join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
+    mixed = members.groupBy("__hub").agg(F.count("*").alias("__n"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__n > 2 AND __lo <> __hi").select("__hub", "__n")
+    open_ = C.written(members.join(mixed, "__hub"), "open")
+    few = open_.where(F.col("__n") <= SMALL)
+    right = few.select("__hub", F.col("__node").alias("__b"), F.col("__comp").alias("__other"), F.col("__near").alias("__far"))
+    pairs = few.join(right, "__hub").where("__comp < __other").where(F.abs(F.col("__near") - F.col("__far")) <= 1 - threshold + 1e-9)
+    pairs = C.written(pairs.select(F.least("__node", "__b").alias("__a"), F.greatest("__node", "__b").alias("__b")).distinct().join(tested, ["__a", "__b"], "left_anti"), "pairs")
+    more = compared(pairs, signed, text_col, k).unionByName(across(open_.where(F.col("__n") > SMALL), signed, text_col, k, threshold))
+    more = C.written(more.where(F.col("__sim") >= threshold), "more")
+    if not more.isEmpty():
+        comps = C.written(components(tested.where(F.col("__sim") >= threshold).unionByName(more)), "components")
     named = nodes.join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
     classes = named.groupBy("__comp").agg(F.min("__id").alias("__class"))
     named = C.written(named.join(classes, "__comp").select("__digest", "__class", "__comp"), "classes")
