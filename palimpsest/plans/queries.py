@@ -181,7 +181,7 @@ WITH roster AS ({_ROSTER_SQL}), words AS ({_WORDS_SQL}),
 keys AS (SELECT w, {_key_sql('w')} AS key FROM (SELECT word AS w FROM words UNION SELECT value FROM roster)),
 pairs AS (SELECT r.subject_id, r.value, t.word, kr.key AS a, kt.key AS b FROM roster r JOIN words t ON t.doc_id = r.doc_id JOIN keys kr ON kr.w = r.value JOIN keys kt ON kt.w = t.word
   WHERE abs(length(kr.key) - length(kt.key)) <= 2),
-scored AS (SELECT *, CASE WHEN least(length(a), length(b)) < 4 THEN 0 WHEN least(length(a), length(b)) < 8 THEN 1 ELSE 2 END AS g, levenshtein(a, b) AS d FROM pairs WHERE b <> '' AND a <> ''),
+scored AS (SELECT *, CASE WHEN least(length(a), length(b)) < 4 THEN 0 WHEN least(length(a), length(b)) < 8 THEN 1 ELSE 2 END AS g, levenshtein(translate(a, 'ßœæøđłþð', '!#$%&*+~'), translate(b, 'ßœæøđłþð', '!#$%&*+~')) AS d FROM pairs WHERE b <> '' AND a <> ''),
 hits AS (SELECT *, CASE WHEN d > 0 THEN 'Fuzzy' WHEN lower(word) = lower(value) THEN 'Exact' ELSE 'Phonetic' END AS match FROM scored
   WHERE CASE WHEN regexp_matches(word, '\\p{{Nd}}') THEN a = b AND {_FOLD_SQL.format('word')} = {_FOLD_SQL.format('value')} ELSE a = b OR (abs(length(a) - length(b)) <= g AND d <= g) END)
 """
@@ -315,8 +315,8 @@ def scores_by_detector(spark: SparkSession, sf: str) -> DataFrame:
     return E.by_detector(*_gold_found(spark, sf))
 
 
-@query(f"""WITH s AS ({_SCORES_SQL}) SELECT record_id, round(CASE WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END, 6) AS kappa
-FROM (SELECT record_id, (covered + 120 - sensitive - removed + covered) / 120 AS po, (sensitive / 120) * (removed / 120) + (1 - sensitive / 120) * (1 - removed / 120) AS pe FROM s)""")
+@query(f"""WITH s AS ({_SCORES_SQL}) SELECT record_id, CASE WHEN k = 0 THEN 0.0 ELSE k END AS kappa FROM (SELECT record_id, round(CASE WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END, 6) AS k
+FROM (SELECT record_id, (covered + 120 - sensitive - removed + covered) / 120 AS po, (sensitive / 120) * (removed / 120) + (1 - sensitive / 120) * (1 - removed / 120) AS pe FROM s))""")
 def annotator_kappa(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("record_id", F.round(E.kappa(F.lit(120), F.col("sensitive"), F.col("removed"), F.col("covered")), 6).alias("kappa"))
 
@@ -362,12 +362,12 @@ def mint_deterministic(spark: SparkSession, sf: str) -> DataFrame:
     return V.minted(subjects, V.empty(spark), Lineage()).select("subject_id", "pseudonym", "surrogate")
 
 
-@query("SELECT n_name AS subject_id, 'p' || n_nationkey AS pseudonym, n_comment AS name FROM nation WHERE n_nationkey % 3 = 0")
+@query("SELECT n_name AS subject_id, 'p' || n_nationkey AS pseudonym, 'Old ' || n_name AS name FROM nation WHERE n_nationkey % 3 = 0")
 def vault_conflict(spark: SparkSession, sf: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf}/nation.parquet")
     code = F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("pseudonym")
-    old = nation.select(F.col("n_name").alias("subject_id"), code, F.col("n_comment").alias("surrogate"), F.array().cast("array<string>").alias("retired"))
-    new = nation.select(F.col("n_name").alias("subject_id"), code, F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise(F.col("n_comment")).alias("surrogate"), F.when(F.col("n_nationkey") % 3 == 1, F.array(F.lit("x"))).otherwise(F.array()).cast("array<string>").alias("retired"))
+    old = nation.select(F.col("n_name").alias("subject_id"), code, F.concat(F.lit("Old "), "n_name").alias("surrogate"), F.array().cast("array<string>").alias("retired"))
+    new = nation.select(F.col("n_name").alias("subject_id"), code, F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise(F.concat(F.lit("Old "), "n_name")).alias("surrogate"), F.when(F.col("n_nationkey") % 3 == 1, F.array(F.lit("x"))).otherwise(F.array()).cast("array<string>").alias("retired"))
     return V.lost(old, new)
 
 
@@ -459,7 +459,7 @@ def spoken_digits(spark: SparkSession, sf: str) -> DataFrame:
     return D.spoken_digits(docs).select("record_id", "kind", "start")
 
 
-@query("SELECT record_id::BIGINT AS record_id, kind, start::INTEGER AS start FROM (VALUES (1, 'AgeOver89', 7), (2, 'AgeOver89', 21)) t(record_id, kind, start)")
+@query("SELECT record_id::BIGINT AS record_id, kind, start::INTEGER AS start FROM (VALUES (1, 'AgeOver89', 8), (2, 'AgeOver89', 22)) t(record_id, kind, start)")
 def birth_year(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.createDataFrame([(1, "born on 3/4/1930 in town"), (2, "she says she was born 1931 far away"), (3, "born in 1990")], "record_id long, text string").withColumn("recorded_on", F.lit("2026-06-01").cast("date"))
     dates = D.patterns(docs, only=("date-numeric",))
