@@ -118,11 +118,15 @@ def marginals(emission: np.ndarray, transitions: np.ndarray, doc: np.ndarray, pa
     grid, valid = np.ones((SEGMENT, total, k)), np.zeros((SEGMENT, total), dtype=bool)
     grid[at, seg], valid[at, seg] = e, True
     product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
+    opens = np.zeros(total, dtype=bool)
+    opens[first_seg] = True
     for s in range(SEGMENT):
         live = valid[s]
         if not live.any():
             break
         step = (product[live] @ t) * grid[s, live][:, None, :]
+        if s == 0:  # nothing leads to a text's first word
+            step = np.where(opens[live][:, None, None], np.eye(k) * grid[s, live][:, None, :], step)
         product[live] = step / step.max(axis=(1, 2), keepdims=True)
     into, back = np.ones((total, k)), np.ones((total, k))
     order = np.argsort(-segs, kind="stable")
@@ -139,7 +143,7 @@ def marginals(emission: np.ndarray, transitions: np.ndarray, doc: np.ndarray, pa
     for s in range(SEGMENT):
         if pairs:
             came[s] = a
-        x = (a @ t) * grid[s]
+        x = np.where(opens[:, None], grid[s], (a @ t) * grid[s]) if s == 0 else (a @ t) * grid[s]
         a = np.where(valid[s][:, None], x / x.sum(axis=1, keepdims=True), a)
         forward[s] = a
     for s in range(SEGMENT - 1, -1, -1):
