@@ -256,7 +256,7 @@ def _extracted(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            html, tokens, linked = (names.index(x) for x in ("__html", "tokens", "linked"))
+            html, tokens, linked = (names.index(x) for x in ("__html", "__template", "__linked"))
             for a, b in C.text_chunks(batch.column(html)):
                 part = batch.slice(a, b - a)
                 rows = []
@@ -276,7 +276,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     """pages with __main (its article), __tokens (template tokens that hold on it) and __slots (its slots with text)."""
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1))
     rows = pages.select("*", name.alias("__host"), F.col(html_col).alias("__html"))
-    made = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).withColumnRenamed("host", "__host")
+    made = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).select(F.col("host").alias("__host"), F.col("tokens").alias("__template"), F.col("linked").alias("__linked"))
     joined = C.looked_up(rows, made, ["__host"], "left", rows=HOSTS)
     return joined.mapInArrow(_extracted(pages.columns), C.with_fields(pages, __main="string", __tokens="long", __slots="long"))
 
