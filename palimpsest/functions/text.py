@@ -13,7 +13,7 @@ WORD = r"[\p{L}\p{Nd}\p{M}]+(?:['’\-‐][\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*)*"
 #: Applied in order to a folded word; capitals are final, so that no output is rewritten.
 KEY_RULES = (
     ("ph", "F"), ("qu?", "K"), ("ch", "CH"), ("c(?=[ei])", "S"), ("c", "K"), ("g(?=[ei])", "Y"), ("y(?=[aeiou])", "Y"), ("y", "I"), ("[vw]", "B"),
-    ("z", "S"), ("j", "Y"), (r"h|[^\p{L}\p{Nd}]", ""), ("^x", "S"), ("x", "KS"),
+    ("z", "S"), ("j", "Y"), (r"h|[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}]", ""), ("^x", "S"), ("x", "KS"),
 )
 SHORT, LONG = 4, 8
 
@@ -90,6 +90,13 @@ def has_digit(word: Column) -> Column:
     return F.regexp_like(word, F.lit(r"\p{Nd}"))
 
 
+def to_digits(text: Column, table: dict[str, str]) -> Column:
+    """The digits that a run of digit words says; null if any word is none."""
+    digit = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    said = F.transform(F.split(F.lower(F.trim(text)), r"[\s,–-]+"), lambda w: F.element_at(digit, w))
+    return F.when(F.exists(said, lambda d: d.isNull()), F.lit(None).cast("string")).otherwise(F.array_join(said, ""))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -6,15 +6,21 @@ meet only the words of their own record: the join is on record and number of wor
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..rules import DIGITS, KINDS, LISTS, MAX_CHARACTERS, PERSONS, Lineage
+from ..rules import BIRTH_CUE, DIGITS, KINDS, LISTS, MAX_CHARACTERS, PERSONS, RULES, Lineage
 
 CANDIDATE = ["record_id", "start", "len", "kind", "detector_id", "confidence", "subject_id", "match"]
-_ALT = lambda name: "|".join(sorted(LISTS[name], key=lambda w: (-len(w), w)))
+_ALT = lambda name: "|".join(w.replace(" ", r"\s+") for w in sorted(LISTS[name], key=lambda w: (-len(w), w)))
+
+
+def unaccented(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
 
 
 def guarded(docs: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
@@ -63,9 +69,16 @@ def _word_score(word: Column, key: Column, t_word: Column, t_key: Column, person
     return F.when(key == "", 0.0).when(strict, F.when(exact, 1.0).otherwise(0.0)).otherwise(F.when(T.accepts(key, t_key), score).otherwise(0.0))
 
 
-def known_values(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """Roster values found through spelling damage; sizes are the numbers of words of the roster's values."""
+def word_counts(roster: DataFrame) -> tuple[int, ...]:
+    """The distinct numbers of words of roster values: a few small numbers, whatever the roster's size."""
+    rows = roster.select(F.size(T.words(F.col("value"))).alias("n")).where("n > 0").distinct().collect()
+    return tuple(sorted(r["n"] for r in rows)) or (1,)
+
+
+def known_values(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """Roster values found through spelling damage; sizes are the numbers of words that the roster's values have."""
     toks, goals = tokens(docs), targets(roster)
+    sizes = sizes or word_counts(roster)
     runs = None
     for n in sizes:
         w = windows(toks, n)
@@ -84,8 +97,9 @@ def known_values(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] = (1
     return found.select("record_id", "start", "len", "kind", F.lit("known-values").alias("detector_id"), "confidence", "subject_id", match.alias("match"))
 
 
-def deny_list(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def deny_list(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """The literal baseline: equal folded word runs, by an equi-join."""
+    sizes = sizes or word_counts(roster)
     toks = tokens(docs)
     goal = roster.select("record_id", "subject_id", "kind", F.transform(T.words(F.col("value")), T.fold).alias("f")).where(F.size("f") > 0)
     out = None
@@ -108,40 +122,52 @@ def _named(found: Column, rule) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.lit(rule.kind).alias("kind"), F.lit(f"pattern:{rule.id}").alias("detector_id"), F.lit(rule.confidence).alias("confidence")))
 
 
-_RUN = rf"(?iu)\b(?:{_ALT('digit-word')})(?:[\s,–-]+(?:{_ALT('digit-word')}))+\b"
+_WORD = f"(?:{_ALT('digit-word')})"
+_RUN = rf"(?iu)\b{_WORD}(?:(?:[ \t]*[,\-–][ \t]*|[ \t]+){_WORD})+\b"
+#: Read in this order: a record or an account is also a number.
+CUES = (("cue-record", "RecordNumber"), ("cue-account", "AccountNumber"), ("cue-zip", "PostalCode"), ("cue-phone", "Phone"))
 
 
 def spoken_digits(docs: DataFrame) -> DataFrame:
-    """Runs of digit words: a cue in the 32 characters before decides the kind, else the length; counting is no number."""
-    digit = F.create_map(*(F.lit(x) for kv in DIGITS.items() for x in kv))
-    rows = docs.select("record_id", "text", F.explode(T.spans(F.col("text"), _RUN)).alias("s")).select("record_id", "s.*", F.substring("text", F.greatest(F.col("s.start") - 31, F.lit(1)), F.least(F.col("s.start"), F.lit(32))).alias("before"))
-    rows = rows.withColumn("d", F.transform(F.split(F.lower("value"), r"[\s,–-]+"), lambda w: F.element_at(digit, w).cast("int")))
-    near = F.lower(F.regexp_extract("before", r"([^.!?\n]*)$", 1))
+    """Runs of digit words. A cue in the 32 characters before, in the same sentence, decides the kind and lets four digits pass;
+    without one six are needed, the length decides, and five that count up or down are no number."""
+    found = docs.select("record_id", "text", F.explode(T.spans(F.col("text"), _RUN)).alias("s")).select("record_id", "text", "s.*")
+    oh = F.length(F.regexp_extract("value", r"(?iu)^oh[ \t]*,[ \t]*", 0))
+    found = found.select("record_id", "text", (F.col("start") + oh).alias("start"), (F.col("len") - oh).alias("len"), F.substring("value", oh + 1, F.col("len")).alias("value"))
+    rows = found.withColumn("before", F.substring("text", F.greatest(F.col("start") - 31, F.lit(1)), F.least(F.col("start"), F.lit(32)))).drop("text")
+    rows = rows.withColumn("digits", T.to_digits(F.col("value"), DIGITS)).where("digits IS NOT NULL")
+    near = F.regexp_extract("before", r"([^.!?\r\n]*)$", 1)
     kind = F.lit(None).cast("string")
-    for cue, k in (("cue-zip", "PostalCode"), ("cue-account", "AccountNumber"), ("cue-record", "RecordNumber"), ("cue-phone", "Phone")):
-        kind = F.when(F.regexp_like(near, F.lit(rf"\b(?:{_ALT(cue)})\b")), k).otherwise(kind)
-    n = F.size("d")
-    steps = lambda by: F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at("d", i + 1) - F.element_at("d", i) == by))
-    rows = rows.withColumn("cued", kind).withColumn("count_up", (n >= 5) & ((steps(1) == n - 1) | (steps(-1) == n - 1)))
-    by_length = F.when(n.isin(7, 10, 11), "Phone").when(n == 5, "PostalCode").when(n == 9, "AccountNumber").otherwise("RecordNumber")
-    rows = rows.where((F.col("cued").isNotNull() & (n >= 4)) | (F.col("cued").isNull() & (n >= 6) & ~F.col("count_up")))
+    for cue, k in reversed(CUES):
+        kind = F.when(F.regexp_like(near, F.lit(rf"(?iu)\b(?:{_ALT(cue)})\b")), k).otherwise(kind)
+    n = F.length("digits")
+    step = lambda i: F.substring("digits", i + 1, F.lit(1)).cast("int") - F.substring("digits", i, F.lit(1)).cast("int")
+    steps = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.when(step(i) == 1, "u").when(step(i) == -1, "d").otherwise(".")), "")
+    rows = rows.withColumn("cued", kind).withColumn("count", F.regexp_like(steps, F.lit("uuuu|dddd")))
+    by_length = F.when(n.isin(7, 10) | ((n == 11) & F.startswith("digits", F.lit("1"))), "Phone").otherwise("Other")
+    rows = rows.where((F.col("cued").isNotNull() & (n >= 4)) | (F.col("cued").isNull() & (n >= 6) & ~F.col("count")))
     return rows.select("record_id", "start", "len", F.coalesce("cued", by_length).alias("kind"), F.lit("spoken-digits").alias("detector_id"), F.when(F.col("cued").isNotNull(), 0.9).otherwise(0.8).alias("confidence"), F.lit(None).cast("string").alias("subject_id"), F.lit("Pattern").alias("match"))
 
 
-_BORN = r"(?iu)\b(?:born|birth|dob|nació|nacid[oa]|nacimiento)\b[^.\n]{0,40}?\b(?:1[5-9][0-9]{2}|20[0-9]{2})\b"
+_YEAR = r"\b(?:1[5-9][0-9]{2}|20[0-9]{2})\b"
 
 
 def birth_years(docs: DataFrame, candidates: DataFrame, reference: Column | str = "recorded_on") -> DataFrame:
-    """Candidates with the years of birth: a Date that covers one of 90 years ago or more becomes an age, else one is added."""
+    """Candidates with the years of birth: the first Date (roster, then rules in order) that covers one of 90 years ago or
+    more becomes an age; where none does, the year is added. A year stands within 40 characters of its cue, in its sentence."""
     year_ref = F.year(F.col(reference) if isinstance(reference, str) else reference)
-    born = docs.select("record_id", year_ref.alias("ref"), F.explode(T.spans(F.col("text"), _BORN)).alias("s")).select("record_id", "ref", (F.col("s.start") + F.col("s.len") - 4).alias("at"), F.right("s.value", F.lit(4)).cast("int").alias("year"))
-    old = born.where("ref IS NOT NULL AND year <= ref - 90")
-    dates = candidates.where("kind = 'Date'").select("record_id", F.col("start").alias("ds"), F.col("len").alias("dl"), F.col("detector_id").alias("dd"))
-    hit = old.join(dates, (old.record_id == dates.record_id) & (F.col("ds") <= F.col("at")) & (F.col("at") < F.col("ds") + F.col("dl")), "left").select(old.record_id, "at", "ds", "dl", "dd")
-    first = hit.withColumn("r", F.row_number().over(W.partitionBy("record_id", "at").orderBy("ds", "dd"))).where("r = 1")
+    cues = docs.select("record_id", "text", year_ref.alias("ref"), F.explode(T.spans(F.col("text"), f"(?iu){BIRTH_CUE}")).alias("s")).where("ref IS NOT NULL")
+    after = cues.select("record_id", "ref", (F.col("s.start") + F.col("s.len")).alias("from"), F.regexp_extract(F.substring("text", F.col("s.start") + F.col("s.len") + 1, F.lit(40)), r"^[^.\r\n]*", 0).alias("w"))
+    year = F.element_at(T.spans(F.col("w"), _YEAR), 1)
+    old = after.where(F.regexp_like("w", F.lit(_YEAR))).select("record_id", "ref", (F.col("from") + year["start"]).alias("at"), year["value"].cast("int").alias("year")).where("year <= ref - 90")
+    rank = F.coalesce(F.element_at(F.create_map(*(x for i, r in enumerate(RULES) for x in (F.lit(f"pattern:{r.id}"), F.lit(i)))), F.col("detector_id")), F.when(F.startswith("detector_id", F.lit("pattern:")), len(RULES)).otherwise(-1))
+    dates = candidates.where("kind = 'Date'").select("record_id", F.col("start").alias("ds"), F.col("len").alias("dl"), F.col("detector_id").alias("dd"), rank.alias("dr"))
+    hit = old.join(dates, (old.record_id == dates.record_id) & (F.col("ds") <= F.col("at")) & (F.col("at") < F.col("ds") + F.col("dl")), "left").select(old.record_id, "at", "ds", "dl", "dd", "dr")
+    first = hit.withColumn("r", F.row_number().over(W.partitionBy("record_id", "at").orderBy("dr", "ds"))).where("r = 1")
     marked = first.where("ds IS NOT NULL").select("record_id", F.col("ds").alias("start"), F.col("dl").alias("len"), F.col("dd").alias("detector_id"), F.lit(True).alias("aged")).distinct()
-    rewritten = candidates.join(marked, ["record_id", "start", "len", "detector_id"], "left")
-    rewritten = rewritten.withColumn("kind", F.when(F.col("aged") & (F.col("kind") == "Date"), "AgeOver89").otherwise(F.col("kind"))).withColumn("confidence", F.when(F.col("aged"), 0.99).otherwise(F.col("confidence"))).select(*CANDIDATE)
+    aged = F.coalesce(F.col("aged"), F.lit(False)) & (F.col("kind") == "Date")
+    rewritten = candidates.join(marked, ["record_id", "start", "len", "detector_id"], "left").withColumn("aged", aged)
+    rewritten = rewritten.withColumns({"kind": F.when(F.col("aged"), "AgeOver89").otherwise(F.col("kind")), "confidence": F.when(F.col("aged"), 0.99).otherwise(F.col("confidence")), "detector_id": F.when(F.col("aged"), "birth-year").otherwise(F.col("detector_id"))}).select(*CANDIDATE)
     added = first.where("ds IS NULL").select("record_id", F.col("at").alias("start"), F.lit(4).alias("len"), F.lit("AgeOver89").alias("kind"), F.lit("birth-year").alias("detector_id"), F.lit(0.99).alias("confidence"), F.lit(None).cast("string").alias("subject_id"), F.lit("Pattern").alias("match"))
     return rewritten.unionByName(added)
 
@@ -149,17 +175,20 @@ def birth_years(docs: DataFrame, candidates: DataFrame, reference: Column | str
 def relatives(docs: DataFrame) -> DataFrame:
     """(record_id, seq, name, given, surname, kind): capitalised names after a kinship word."""
     w = W.partitionBy("record_id").orderBy("pos")
-    t = tokens(docs).withColumn("low", F.lower("word"))
+    t = tokens(docs).withColumn("low", T.fold(F.col("word")))
     for i in (1, 2):
         t = t.withColumn(f"w{i}", F.lead("word", i).over(w))
-    t = t.withColumn("gap2", F.lead("gap", 1).over(w)).withColumn("prior", F.lower(F.lag("word", 1).over(w)))
-    bad = [*LISTS["title"], *LISTS["kinship"], *LISTS["digit-word"]]
-    named = lambda c: F.regexp_like(c, F.lit(r"^\p{Lu}\p{Ll}+")) & ~F.lower(c).isin(*bad)
-    quiet = F.regexp_like("gap", F.lit(r"^[ \t]*,?[ \t]*\n?[ \t]*$")) & (F.length("gap") > 0)
-    kin = F.col("low").isin(*LISTS["kinship"]) & (~F.regexp_like("word", F.lit(r"^\p{Lu}")) | F.col("prior").isin(*LISTS["possessive"]))
-    rows = t.where(kin & quiet & named(F.col("w1")))
-    surname = F.when((F.col("gap2") == " ") & named(F.col("w2")), F.col("w2"))
-    return rows.select("record_id", F.row_number().over(w).alias("seq"), F.concat_ws(" ", "w1", surname).alias("name"), F.col("w1").alias("given"), surname.alias("surname"), F.when(F.col("low").isin(*LISTS["caregiver"]), "OtherName").otherwise("FamilyName").alias("kind"))
+    t = t.withColumn("gap2", F.lead("gap", 1).over(w)).withColumn("prior", F.lag("low", 1).over(w)).withColumn("gap0", F.lag("gap", 1).over(w))
+    folded = lambda name: sorted({unaccented(x) for x in LISTS[name]})
+    bad = [*folded("title"), *folded("kinship")]
+    named = lambda c: F.regexp_like(c, F.lit(r"^\p{Lu}")) & F.regexp_like(c, F.lit(r"\p{Ll}")) & ~T.has_digit(c) & ~T.fold(c).isin(*bad)
+    many = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
+    reaches = F.regexp_like("gap", F.lit(r"^[\s,]*$")) & (many("gap", ",") <= 1) & (many("gap", "\n") <= 1)
+    space = lambda c: F.regexp_like(c, F.lit(r"^[\s&&[^\n]]*$"))
+    kin = F.col("low").isin(*folded("kinship")) & (~F.regexp_like("word", F.lit(r"^\p{Lu}")) | (F.col("prior").isin(*folded("possessive")) & space("gap0")))
+    rows = t.where(kin & reaches & named(F.col("w1")))
+    surname = F.when(space("gap2") & named(F.col("w2")), F.col("w2"))
+    return rows.select("record_id", F.row_number().over(w).alias("seq"), F.concat_ws(" ", "w1", surname).alias("name"), F.col("w1").alias("given"), surname.alias("surname"), F.when(F.col("low").isin(*folded("caregiver")), "OtherName").otherwise("FamilyName").alias("kind"))
 
 
 def widened(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
@@ -170,9 +199,12 @@ def widened(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None)
         shared = docs.sparkSession.createDataFrame(values, "value string, kind string")  # a lineage's list, held on the driver
         out = out.unionByName(docs.select("record_id").crossJoin(F.broadcast(shared)).select("record_id", F.lit("").alias("subject_id"), "value", "kind"))
     people = relatives(docs)
-    parts = people.select("record_id", "kind", F.explode(F.array_distinct(F.array_compact(F.array("name", "given", "surname")))).alias("value"))
+    single = out.where(F.size(T.words(F.col("value"))) == 1).select("record_id", T.phonetic_key(F.col("value")).alias("known")).where("known <> ''").distinct()
+    given = people.withColumn("key", T.phonetic_key(F.col("given")))
+    unknown = given.join(single, (given.record_id == single.record_id) & T.accepts(F.col("key"), F.col("known")), "left_anti")
+    parts = unknown.select("record_id", "kind", F.explode(F.array_distinct(F.array_compact(F.array("name", "given", "surname")))).alias("value"))
     known = out.select("record_id", T.fold(F.col("value")).alias("f")).distinct()
-    fresh = parts.withColumn("f", T.fold(F.col("value"))).join(known, ["record_id", "f"], "left_anti").dropDuplicates(["record_id", "f"])
+    fresh = parts.withColumn("f", T.fold(F.col("value"))).join(known, ["record_id", "f"], "left_anti").groupBy("record_id", "f").agg(F.min("value").alias("value"), F.min("kind").alias("kind"))
     return out.unionByName(fresh.select("record_id", F.lit("").alias("subject_id"), "value", "kind"))
 
 

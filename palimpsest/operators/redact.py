@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..rules import KINDS, ORDINAL, UNKNOWN_LABEL, Lineage, Policy
+from ..rules import DIGITS, KINDS, ORDINAL, UNKNOWN_LABEL, Lineage, Policy
+from ..sources.tables import written
 from . import detect as D
 
 
@@ -69,9 +70,14 @@ def year_only(value: Column, label: str) -> Column:
     return F.when(year != "", year).otherwise(F.lit(label))
 
 
+def zip_digits(value: Column) -> Column:
+    """The digits of a postal code, written or said."""
+    return F.when(T.has_digit(value), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.coalesce(T.to_digits(value, DIGITS), F.lit("")))
+
+
 def zip_prefix(value: Column, population: Column, label: str, threshold: int = 20_000) -> Column:
     """The first three digits and XX where the prefix has people enough, else 000XX; a label unless 5 or 9 digits."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    digits = zip_digits(value)
     return F.when(~F.length(digits).isin(5, 9), F.lit(label)).otherwise(F.concat(F.when(F.coalesce(population, F.lit(0)) > threshold, F.substring(digits, 1, 3)).otherwise("000"), F.lit("XX")))
 
 
@@ -90,7 +96,7 @@ def replaced(docs: DataFrame, spans: DataFrame, vault: DataFrame | None, policy:
     if zips is None:
         rows = rows.withColumn("population", F.lit(None).cast("long"))
     else:
-        rows = rows.withColumn("prefix", F.substring(F.regexp_replace("value", "[^0-9]", ""), 1, 3)).join(zips.select("prefix", "population"), "prefix", "left").drop("prefix")
+        rows = rows.withColumn("prefix", F.substring(zip_digits(F.col("value")), 1, 3)).join(zips.select("prefix", "population"), "prefix", "left").drop("prefix")
     label = F.coalesce(F.element_at(_map(lineage.labels), F.col("kind")), F.lit(UNKNOWN_LABEL))
     action = F.coalesce(F.element_at(_map(policy.actions), F.col("kind")), F.lit("Label"))
     wide = F.when(F.col("kind") == "PostalCode", zip_prefix(F.col("value"), F.col("population"), lineage.labels.get("PostalCode", UNKNOWN_LABEL))).otherwise(F.coalesce(F.element_at(_map(lineage.generalizations or {"": ""}), F.col("kind")), label))
@@ -108,7 +114,7 @@ def splice(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.withColumn("redacted", F.when(F.col("xs").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last["start"] + last["len"] + 1, F.length("text"))))).drop("xs")
 
 
-def detect(docs: DataFrame, roster: DataFrame | None, lineage: Lineage, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def detect(docs: DataFrame, roster: DataFrame | None, lineage: Lineage, sizes: tuple[int, ...] | None = None) -> DataFrame:
     found = D.patterns(docs, lineage).unionByName(D.spoken_digits(docs))
     if roster is not None:
         found = found.unionByName(D.known_values(docs, roster, sizes))
@@ -125,15 +131,16 @@ class Result:
     manifest: DataFrame
 
 
-def redact(docs: DataFrame, roster: DataFrame | None = None, vault: DataFrame | None = None, policy: Policy | None = None, lineage: Lineage | None = None, zips: DataFrame | None = None, sizes: tuple[int, ...] = (1, 2, 3)) -> Result:
+def redact(docs: DataFrame, roster: DataFrame | None = None, vault: DataFrame | None = None, policy: Policy | None = None, lineage: Lineage | None = None, zips: DataFrame | None = None, sizes: tuple[int, ...] | None = None) -> Result:
     """Detects, resolves, replaces and reads its own output back with the same rules and roster."""
     policy, lineage = policy or Policy(), lineage or Lineage()
     docs = D.guarded(docs)
-    roster = D.widened(docs, roster, lineage) if roster is not None else None
-    applied = replaced(docs, resolve(detect(docs, roster, lineage, sizes), policy), vault, policy, lineage, zips)
-    out = splice(docs, applied)
+    roster = written(D.widened(docs, roster, lineage), "roster") if roster is not None else None
+    sizes = sizes or (D.word_counts(roster) if roster is not None else (1,))
+    applied = written(replaced(docs, resolve(detect(docs, roster, lineage, sizes), policy), vault, policy, lineage, zips), "applied")
+    out = written(splice(docs, applied), "redacted")
     again = out.select(*[c for c in docs.columns if c != "text"], F.col("redacted").alias("text"))
-    residue = resolve(detect(again, roster, lineage, sizes), policy)
+    residue = written(resolve(detect(again, roster, lineage, sizes), policy), "residue")
     return Result(out, applied, residue, manifest(out, applied, residue, policy, lineage))
 
 

@@ -41,9 +41,9 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 EMAIL, IPV4 = (next(r.regex for r in RULES if r.id == i) for i in ("email", "ipv4"))
 _SQL_RULE = {
     "email": ("Email", EMAIL),
-    "ipv4": ("IpAddress", IPV4.replace("\\\\", "\\")),
-    "url": ("Url", r"(?:https?://|www\.)[A-Za-z0-9][^\s<>""" + '"' + r"""'']*[A-Za-z0-9/]"""),
-    "date-numeric": ("Date", r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"),
+    "ipv4": ("IpAddress", IPV4),
+    "url": ("Url", r"\bhttps?://[^\s<>" + '"' + "'']+"),
+    "date-numeric": ("Date", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"),
 }
 
 
@@ -67,7 +67,7 @@ def detect_ipv4(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf, "ipv4").groupBy(F.col("record_id").alias("doc_id"), "v").agg(F.count("*").alias("n"))
 
 
-_PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 
 
 @query(f"SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])({_PHONE})(?:$|[^0-9])', 1)) AS v FROM documents) GROUP BY ALL")
@@ -340,7 +340,7 @@ def paired_point_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- replacement, vault, catalogue ----
-@query("""SELECT c_custkey, CASE WHEN length(d) NOT IN (5, 9) THEN '[POSTAL CODE]' ELSE (CASE WHEN coalesce(p, 0) > 20000 THEN substr(d, 1, 3) ELSE '000' END) || 'XX' END AS zip
+@query("""SELECT c_custkey, CASE WHEN length(d) NOT IN (5, 9) THEN '[ZIP]' ELSE (CASE WHEN coalesce(p, 0) > 20000 THEN substr(d, 1, 3) ELSE '000' END) || 'XX' END AS zip
 FROM (SELECT c_custkey, lpad(((c_custkey * 7919) % 100000)::VARCHAR, CASE WHEN c_custkey % 7 = 0 THEN 4 ELSE 5 END, '0') AS d, ((c_custkey * 7919) % 100000 // 100 * 37) % 50000 AS p FROM customer)""")
 def zip_generalize(spark: SparkSession, sf: str) -> DataFrame:
     code = (F.col("c_custkey") * 7919) % 100000
@@ -423,7 +423,7 @@ def census_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
 _KIN, _AGE = ["the", "and", "des", "que"], ["ion", "ung"]
 
 
-@query(f"""WITH words AS (SELECT doc_id, {_FOLD_SQL.format('word')} AS w FROM ({_WORDS_SQL})), names AS (SELECT DISTINCT value AS name, {_FOLD_SQL.format('value')} AS f FROM ({_ROSTER_SQL}) WHERE doc_id < 100),
+@query(f"""WITH words AS (SELECT doc_id, {_FOLD_SQL.format('word')} AS w FROM ({_WORDS_SQL})), names AS (SELECT DISTINCT value AS name, {_FOLD_SQL.format('value')} AS f FROM ({_ROSTER_SQL})),
 hits AS (SELECT DISTINCT n.name, w.doc_id FROM names n JOIN words w ON w.w = n.f),
 facts AS (SELECT h.name, count(DISTINCT h.doc_id) AS documents, array_to_string(list_sort(list_distinct(list(w.w) FILTER (regexp_full_match(w.w, '(19|20)[0-9]{{2}}')))), ',') AS ys, array_to_string(list_sort(list_distinct(list(w.w) FILTER (w.w IN ('the', 'and', 'des', 'que')))), ',') AS ks FROM hits h JOIN words w ON w.doc_id = h.doc_id GROUP BY h.name),
 ages AS (SELECT h.name, bool_or(contains(lower(strip_accents(d.text)), 'ion') OR contains(lower(strip_accents(d.text)), 'ung')) AS age FROM hits h JOIN documents d ON d.doc_id = h.doc_id GROUP BY h.name),
@@ -431,7 +431,7 @@ signed AS (SELECT f.name, documents, coalesce(ys, '') || '|' || age::VARCHAR ||
 SELECT name, documents, signature, count(*) OVER (PARTITION BY signature) AS class_size FROM signed""")
 def linkage_report(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    names = _roster(docs.where("record_id < 100")).select(F.col("value").alias("name")).distinct()  # the report is about these names; the texts are all
+    names = _roster(docs).select(F.col("value").alias("name")).distinct()
     return E.linkage(docs.select("record_id", "text"), names, _KIN, _AGE)
 
 
@@ -449,7 +449,7 @@ _SAID = [
     (1, "my number is five five five one two three four please", "Phone", 13),
     (2, "count with me one two three four five six", None, 0),
     (3, "the zip is nine zero two one zero", "PostalCode", 11),
-    (4, "chart number four four one nine eight two", "Phone", 13),
+    (4, "chart number four four one nine eight two", "RecordNumber", 13),
 ]
 
 

@@ -1,7 +1,7 @@
 """Kinds, rules, lists, policies and lineages: the engine's data, held on the driver.
 
-Rules are Java regular expressions, case-insensitive; look-behinds are bounded. Lists come from public standards (census states,
-postal suffixes, month and number names) and are joined longest first where a rule says {{name}}.
+Rules are Java regular expressions, case-insensitive; look-behinds are bounded. Lists are joined longest first where a rule
+says {{name}}.
 """
 
 from __future__ import annotations
@@ -11,45 +11,57 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
+#: The closed list of kinds, in order; the order breaks ties.
 KINDS = """Other PatientName FamilyName StaffName OtherName Phone Email Url IpAddress Address PostalCode Date AgeOver89 RecordNumber AccountNumber
 DeviceId Organization Product ClientName City State""".split()
 ORDINAL = {k: i for i, k in enumerate(KINDS)}
 PERSONS = ("PatientName", "FamilyName", "StaffName", "OtherName", "ClientName")
 ACTIONS = ("Label", "Surrogate", "YearOnly", "Generalize", "Keep")
-LABELS = {k: f"[{re.sub(r'(?<=[a-z])(?=[A-Z0-9])', ' ', k).upper()}]" for k in KINDS}
+#: What each kind is replaced with, the text that wider values become, limits and the policy's numbers.
+LABELS = {
+    "PatientName": "[PATIENT]", "FamilyName": "[FAMILY]", "StaffName": "[STAFF]", "OtherName": "[NAME]", "Phone": "[PHONE]", "Email": "[EMAIL]", "Url": "[URL]",
+    "IpAddress": "[IP]", "Address": "[ADDRESS]", "PostalCode": "[ZIP]", "Date": "[DATE]", "AgeOver89": "[AGE 90+]", "RecordNumber": "[RECORD]", "AccountNumber": "[ACCOUNT]",
+    "DeviceId": "[DEVICE]", "Other": "[REMOVED]", "Organization": "[ORGANIZATION]", "Product": "[PRODUCT]", "ClientName": "[CLIENT]", "City": "[CITY]", "State": "[STATE]",
+}
 UNKNOWN_LABEL = "[REMOVED]"
 GENERAL = {"AgeOver89": "90 or older"}
 MAX_CHARACTERS, MAX_CANDIDATES = 1_000_000, 100_000
 
-STATES = """Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky
-Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada New_Hampshire New_Jersey New_Mexico New_York
-North_Carolina North_Dakota Ohio Oklahoma Oregon Pennsylvania Rhode_Island South_Carolina South_Dakota Tennessee Texas Utah Vermont Virginia Washington
-West_Virginia Wisconsin Wyoming District_of_Columbia Puerto_Rico""".split()
-CODES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR".split()
-DIGITS = {w: str(d) for d, ws in enumerate("zero oh cero|one uno|two dos|three tres|four cuatro|five cinco|six seis|seven siete|eight ocho|nine nueve".split("|")) for w in ws.split()}
+#: Word lists of the rules.
+STATES = """Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|District of Columbia|Distrito de Columbia|Florida|Georgia|Hawaii|Hawái|Idaho|Illinois|Indiana
+Iowa|Kansas|Kentucky|Louisiana|Luisiana|Maine|Maryland|Massachusetts|Michigan|Míchigan|Minnesota|Mississippi|Misisipi|Missouri|Misuri|Montana|Nebraska|Nevada|New Hampshire
+Nuevo Hampshire|New Jersey|Nueva Jersey|New Mexico|Nuevo México|Nuevo Mexico|New York|Nueva York|North Carolina|Carolina del Norte|North Dakota|Dakota del Norte|Ohio|Oklahoma
+Oregon|Oregón|Pennsylvania|Pensilvania|Puerto Rico|Rhode Island|South Carolina|Carolina del Sur|South Dakota|Dakota del Sur|Tennessee|Texas|Utah|Vermont|Virginia|Washington
+West Virginia|Virginia Occidental|Wisconsin|Wyoming""".replace("\n", "|").split("|")
+CODES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA PR RI SC SD TN TX UT VT VA WA WV WI WY".split()
+DIGITS = {w: str(d) for d, ws in enumerate("zero oh cero|one uno una|two dos|three tres|four cuatro|five cinco|six seis|seven siete|eight ocho|nine nueve".split("|")) for w in ws.split()}
 LISTS: dict[str, list[str]] = {
-    "us-state": [s.replace("_", " ") for s in STATES],
+    "us-state": STATES,
     "us-state-code": CODES,
+    "sentence-opener": "Yes No Well So And But Oh Okay Ok Sure Then Now Also Right Thanks Thank Hi Hello Hey Sí Si Bueno Pues Pero Entonces Gracias Hola Claro Ahora También Tambien The In From To At Of En De Desde Para Por Con Mr Mrs Ms Dr Sr Sra".split(),
     "month-en": "January February March April May June July August September October November December".split(),
     "month-es": "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split(),
     "ordinal-en": "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth thirtieth".split(),
-    "day-es": "primero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve treinta".split() + ["treinta y uno"],
-    "tld": "com org net edu gov io co mx es us info biz me app dev health".split(),
-    "street-suffix-us": "Street St Avenue Ave Road Rd Boulevard Blvd Lane Ln Drive Dr Court Ct Circle Cir Place Pl Terrace Ter Parkway Pkwy Highway Hwy Square Sq Trail Trl Way Alley Aly Crossing Xing Loop Plaza Plz Point Pt Ridge Rdg Run Walk".split(),
-    "directional-us": "N S E W NE NW SE SW North South East West Northeast Northwest Southeast Southwest".split(),
-    "unit-us": "Apt Apartment Suite Ste Unit Floor Fl Room Rm Bldg Building".split(),
-    "vialidad-mx": "Calle Avenida Av Calzada Boulevard Blvd Privada Cerrada Callejón Carretera Camino Circuito Andador Prolongación Paseo".split(),
+    "day-es": "primero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis dieciseis diecisiete dieciocho diecinueve veinte veintiuno veintiún veintiun veintidós veintidos veintitrés veintitres veinticuatro veinticinco veintiséis veintiseis veintisiete veintiocho veintinueve treinta".split() + ["treinta y uno"],
+    "tld": "com org net edu gov mil int info biz io co us mx es ca uk".split(),
+    # The frequent names of the postal standard and their abbreviations; a lineage gives more under a name of its own.
+    "street-suffix-us": "Alley Aly Annex Anx Arcade Avenue Ave Bend Bnd Boulevard Blvd Bridge Brg Bypass Byp Canyon Cyn Causeway Cswy Center Ctr Circle Cir Corner Cor Court Ct Cove Cv Creek Crk Crescent Cres Crossing Xing Curve Drive Dr Expressway Expy Freeway Fwy Garden Gdn Gateway Gtwy Glen Gln Green Grn Grove Grv Harbor Hbr Heights Hts Highway Hwy Hill Hl Hollow Holw Island Is Junction Jct Knoll Knl Lake Lk Landing Lndg Lane Ln Loop Mall Manor Mnr Meadow Mdw Mount Mt Mountain Mtn Overpass Park Parkway Pkwy Pass Path Pike Place Pl Plaza Plz Point Pt Ranch Rnch Ridge Rdg River Riv Road Rd Route Rte Row Run Shore Shr Spring Spg Square Sq Station Sta Street St Summit Smt Terrace Ter Trace Trce Track Trail Trl Tunnel Turnpike Tpke Valley Vly View Vw Village Vlg Vista Vis Walk Way Wy Well Wl".split(),
+    "directional-us": "North South East West Northeast Northwest Southeast Southwest N S E W NE NW SE SW".split(),
+    "thoroughfare-us": "Street Avenue Road Lane Drive Boulevard Parkway Highway Expressway Freeway Turnpike Alley Terrace".split(),
+    "unit-us": "Apartment Apt Suite Ste Unit Building Bldg Floor Fl Room Rm Lot Space Spc Trailer Trlr Department Dept Office Ofc".split(),
+    "vialidad-mx": "Ampliación Ampliacion Andador Avenida Av Avda Boulevard Bulevar Blvd Calle Callejón Callejon Calzada Calz Cerrada Circuito Circunvalación Circunvalacion Continuación Continuacion Corredor Diagonal Pasaje Peatonal Periférico Periferico Privada Priv Prolongación Prolongacion Prol Retorno Viaducto Carretera Camino Brecha Terracería Terraceria Vereda".split() + ["Eje vial"],
     "digit-word": list(DIGITS),
-    "cue-phone": "phone telephone call cell mobile number teléfono celular llamar llame número fax".split(),
-    "cue-record": "record chart mrn expediente historia file folio".split(),
-    "cue-account": "account card social ssn policy cuenta tarjeta póliza member".split(),
-    "cue-zip": ["zip", "zip code", "postal code", "código postal", "cp"],
-    "kinship": "mother father sister brother son daughter wife husband aunt uncle cousin grandmother grandfather niece nephew madre padre hermana hermano hijo hija esposa esposo tía tío prima primo abuela abuelo sobrina sobrino mom dad mamá papá caregiver cuidador cuidadora nurse".split(),
-    "caregiver": "caregiver cuidador cuidadora nurse".split(),
-    "possessive": "my his her their our your mi mis su sus tu tus nuestra nuestro".split(),
-    "title": "dr doctor mr mrs ms miss señor señora doña don".split(),
-    "surname-opener": [],
+    "cue-phone": "phone telephone cell cellphone mobile landline call text reach dial extension teléfono telefono celular móvil movil llamar llame llámeme llameme marque marcar extensión extension".split(),
+    "cue-record": "record chart MRN file case expediente historia registro folio caso".split(),
+    "cue-account": "account policy member ID insurance Medicare Medicaid SSN cuenta póliza poliza afiliado afiliación afiliacion NSS CURP".split() + ["social security", "seguro social"],
+    "cue-zip": ["zip", "zipcode", "postal", "código postal", "codigo postal"],
+    "kinship": "mother father daughter son wife husband sister brother granddaughter grandson grandmother grandfather niece nephew aunt uncle cousin partner widow widower caregiver madre padre hija hijo esposa esposo hermana hermano nieta nieto abuela abuelo sobrina sobrino tía tío prima primo pareja viuda viudo cuidadora cuidador".split(),
+    "caregiver": "caregiver cuidadora cuidador".split(),
+    "possessive": "my her his their our your mi mis su sus tu tus nuestra nuestro nuestras nuestros".split(),
+    "title": "mr mrs ms miss mx dr doctor nurse sr sra srta senor senora senorita doctora enfermera enfermero".split(),
 }
+AGE_BRACKETS = ["90 or older", "90 o más"]
+BIRTH_CUE = r"\b(?:born|birthday|birthdate|birth|d\.?o\.?b|naci[oó]|nacida|nacido|nacimiento)\b"
 
 
 @dataclass(frozen=True)
@@ -61,29 +73,30 @@ class Rule:
 
 
 _R = Rule
+#: The patterns. Where a look-behind or a list holds white space, its length is bounded; digits are ASCII.
 RULES: list[Rule] = [
-    _R("email", "Email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.99),
-    _R("email-spoken", "Email", r"\b[\p{L}\p{Nd}]+(?:\s+(?:dot|punto)\s+[\p{L}\p{Nd}]+)*\s+(?:at|arroba)\s+[\p{L}\p{Nd}]+(?:\s+(?:dot|punto)\s+[\p{L}\p{Nd}]+)*\s+(?:dot|punto)\s+(?:{{tld}})\b"),
-    _R("url", "Url", r"(?:https?://|www\.)[A-Za-z0-9][^\s<>\"']*[A-Za-z0-9/]", 0.99),
-    _R("ipv4", "IpAddress", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b"),
-    _R("phone-us", "Phone", r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", 0.95),
-    _R("ssn-us", "AccountNumber", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.99),
-    _R("record-number", "RecordNumber", r"\b(?:mrn|medical record(?: number)?|record(?: number| no\.?)?|expediente)\s{0,3}[:#]?\s{0,3}[A-Z0-9-]{0,4}[0-9]{4,12}\b", 0.95),
-    _R("zip-us", "PostalCode", r"(?<=\b(?:{{us-state-code}}),?\s{1,3}|\bzip(?: code)?(?: is)?:?\s{1,3}|\bpostal code(?: is)?:?\s{1,3})[0-9]{5}(?:-[0-9]{4})?(?![0-9])", 0.95),
-    _R("state-us", "State", r"\b(?:{{us-state}})\b|(?<=\p{Ll}{1,30},\s{1,3})(?-i:{{us-state-code}})\b"),
-    _R("city-us", "City", r"(?-i:\b\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+){0,2})(?=,\s{1,3}(?:{{us-state}}|(?-i:{{us-state-code}}))\b)", 0.85),
-    _R("street-us", "Address", r"\b[0-9]{1,6}\s+(?:(?:{{directional-us}})\.?\s+)?(?-i:(?:[\p{Lu}0-9][\p{L}0-9'-]*\s+){1,4})(?:{{street-suffix-us}})\b\.?(?:,?\s+(?:{{unit-us}})\.?\s*#?[A-Z0-9-]+)?"),
-    _R("street-name-us", "Address", r"(?-i:\b(?!The |A |In |On |At )\p{Lu}\p{Ll}+\s+(?:Street|Avenue|Road|Boulevard|Lane|Drive|Court))\b", 0.85),
-    _R("street-mx", "Address", r"\b(?:{{vialidad-mx}})\.?\s+(?-i:(?:(?:de|del|la|las|los)\s+)*\p{Lu}[\p{L}.]+(?:\s+(?:(?:de|del|la)\s+)?\p{Lu}[\p{L}.]+){0,3})(?:\s+(?:número|num\.?|no\.?|#)?\s*[0-9]{1,5})"),
-    _R("po-box", "Address", r"\bp\.?\s?o\.?\s?box\s+[0-9]+\b|\bapartado postal\s+[0-9]+\b", 0.95),
-    _R("date-numeric", "Date", r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{2,4}\b", 0.95),
-    _R("date-month-en", "Date", r"\b(?:{{month-en}})\s+[0-9]{1,2}(?:st|nd|rd|th)?(?:,?\s+[0-9]{4})?\b|\b[0-9]{1,2}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{{month-en}})(?:,?\s+[0-9]{4})?\b"),
-    _R("date-month-es", "Date", r"\b[0-9]{1,2}\s+de\s+(?:{{month-es}})(?:\s+del?\s+[0-9]{4})?\b"),
-    _R("date-words-en", "Date", r"\b(?:{{month-en}})\s+(?:the\s+)?(?:(?:twenty|thirty)[ -])?(?:{{ordinal-en}})\b"),
-    _R("date-words-es", "Date", r"\b(?:{{day-es}})\s+de\s+(?:{{month-es}})\b"),
-    _R("age-over-89", "AgeOver89", r"\b(?:9[0-9]|1[0-2][0-9])[ -](?:years?|años|yrs?)(?:[ -]old)?\b"),
-    _R("age-over-89-words", "AgeOver89", r"\b(?:ninety(?:[ -](?:one|two|three|four|five|six|seven|eight|nine))?|noventa(?: y (?:uno?|dos|tres|cuatro|cinco|seis|siete|ocho|nueve))?)[ -](?:years?|años)(?:[ -]old)?\b"),
-    _R("age-over-89-said", "AgeOver89", r"(?<=\b(?:aged|age|edad|cumplió|turned)\s{1,3})(?:9[0-9]|1[0-2][0-9])\b(?!\s*(?:%|percent|mg|kg))"),
+    _R("email", "Email", r"\b[\p{L}\p{Nd}_.%+-]+@[\p{L}\p{Nd}_.-]+\.[A-Za-z]{2,}\b", 0.99),
+    _R("email-spoken", "Email", r"\b[\p{L}\p{Nd}_+-]+(?:(?:\s+(?:dot|punto)\s+|\.)[\p{L}\p{Nd}_+-]+)*\s+(?:at|arroba)\s+[\p{L}\p{Nd}_-]+(?:(?:\s+(?:dot|punto)\s+|\.)[\p{L}\p{Nd}_-]+)*(?:\s+(?:dot|punto)\s+|\.){{tld}}\b", 0.9),
+    _R("url", "Url", r"\bhttps?://[^\s<>\"']+", 0.99),
+    _R("ipv4", "IpAddress", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.9),
+    _R("phone-us", "Phone", r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])", 0.95),
+    _R("ssn-us", "AccountNumber", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", 0.99),
+    _R("record-number", "RecordNumber", r"\b(?:mrn|medical record(?: number)?|chart number|expediente)\s*[:#]?\s*[0-9]{4,12}\b", 0.95),
+    _R("zip-us", "PostalCode", r"(?<=\b(?:zip(?:\s{0,4}code)?|postal\s{1,4}code|c[oó]digo\s{1,4}postal)(?:\s{0,4}[:#]|\s{1,4}(?:is|es|was|era))?\s{0,4}|(?-i:\b{{us-state-code}})\s{1,4}|\b{{us-state}},?\s{1,4})[0-9]{5}(?:-[0-9]{4})?(?![0-9])", 0.95),
+    _R("state-us", "State", r"\b{{us-state}}\b|(?-i:(?<=\b\p{Lu}\p{Ll}{1,30},[ ]?){{us-state-code}}\b)|(?-i:\b{{us-state-code}}(?=\s+[0-9]{5}(?:-[0-9]{4})?(?![0-9])))", 0.9),
+    _R("city-us", "City", r"(?-i:\b(?!{{sentence-opener}}\b)\p{Lu}\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)?(?:(?:[ -]|\s(?:de|del|la|las|los|el)\s)\p{Lu}\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)?){0,2})(?=,?\s+{{us-state}}\b|(?-i:,\s?{{us-state-code}}\b|\s+{{us-state-code}}\s+[0-9]{5}(?![0-9])))", 0.85),
+    _R("street-us", "Address", r"(?-i:\b[0-9]{1,6}[A-Z]?\s+(?:{{directional-us}}\.?\s+)?(?:(?:\p{Lu}\p{Ll}+|[0-9]{1,3}(?:st|nd|rd|th))\s+){1,3}{{street-suffix-us}}\b(?:\s+{{directional-us}}\b)?(?:,?\s+{{unit-us}}\.?\s*#?\s*[A-Za-z0-9-]{1,6}\b)?)", 0.9),
+    _R("street-name-us", "Address", r"(?-i:\b(?!{{sentence-opener}}\b)(?:\p{Lu}\p{Ll}+\s+){1,3}{{thoroughfare-us}}\b)", 0.85),
+    _R("street-mx", "Address", r"\b{{vialidad-mx}}\.?\s+(?-i:(?:(?:de|del|la|las|los|el)\s+)*\p{Lu}\p{Ll}+(?:\s+(?:(?:de|del|la|las|los|el|y)\s+)*\p{Lu}\p{Ll}+){0,3})(?:\s*(?:#|no\.|n[úu]m(?:ero)?\.?)?\s*[0-9]{1,5}[A-Za-z]?\b)?", 0.9),
+    _R("po-box", "Address", r"\bP\.?\s?O\.?\s*Box\s*#?\s*[0-9]{1,6}\b|\bapartado\s+postal\s*#?\s*[0-9]{1,6}\b", 0.95),
+    _R("date-numeric", "Date", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b", 0.95),
+    _R("date-month-en", "Date", r"\b{{month-en}}\s+[0-9]{1,2}(?:st|nd|rd|th)?(?:,?\s+[0-9]{4})?\b", 0.9),
+    _R("date-month-es", "Date", r"\b[0-9]{1,2}\s+de\s+{{month-es}}(?:\s+de\s+[0-9]{4})?\b", 0.9),
+    _R("date-words-en", "Date", r"\b(?:{{month-en}}\s+(?:the\s+)?(?:(?:twenty|thirty)[\s-])?{{ordinal-en}}|(?:the\s+)?(?:(?:twenty|thirty)[\s-])?{{ordinal-en}}\s+of\s+{{month-en}})(?:,?\s+[0-9]{4})?\b", 0.9),
+    _R("date-words-es", "Date", r"\b{{day-es}}\s+de\s+{{month-es}}(?:\s+de\s+[0-9]{4})?\b", 0.9),
+    _R("age-over-89", "AgeOver89", r"\b(?:9[0-9]|1[0-9]{2})[ -]?(?:years?[ -]old|year[ -]old|años|anos)\b", 0.9),
+    _R("age-over-89-words", "AgeOver89", r"\b(?:ninety(?:[\s-](?:one|two|three|four|five|six|seven|eight|nine))?|(?:one\s+)?hundred(?:\s+(?:and\s+)?[a-z]+(?:[\s-][a-z]+)?)?|noventa(?:\s+y\s+(?:uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve))?|cien|ciento(?:\s+[a-zá-ú]+)?)[\s-]*(?:years?[\s-]old|year[\s-]old|años|anos)\b", 0.9),
+    _R("age-over-89-said", "AgeOver89", r"\b(?:age|edad)\s*:?\s*(?:9[0-9]|1[0-2][0-9])\b(?!\s*(?:over|/|-|\.[0-9]))", 0.9),
 ]
 
 
@@ -93,8 +106,8 @@ def expanded(regex: str, lists: dict[str, list[str]]) -> str | None:
     if any(not lists.get(n) for n in names):
         return None
     for n in names:
-        words_ = sorted(lists[n], key=lambda w: (-len(w), w))
-        regex = regex.replace("{{" + n + "}}", "|".join(re.sub(r"\s+", r"\\s+", re.sub(r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\\1", w)) for w in words_))
+        words_ = sorted(set(lists[n]), key=lambda w: (-len(w), w))
+        regex = regex.replace("{{" + n + "}}", "(?:" + "|".join(re.sub(r"\s+", r"\\s{1,4}", re.sub(r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\\1", w)) for w in words_) + ")")
     return regex
 
 
