@@ -31,7 +31,8 @@ def guarded(docs: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
 def tokens(docs: DataFrame) -> DataFrame:
     """(record_id, pos, start, len, word, key, gap): words with their places and the text up to the next word."""
     zipped = F.arrays_zip(F.split("text", T.WORD, -1).alias("gap"), T.words(F.col("text")).alias("word"))
-    rows = docs.select("record_id", F.posexplode(zipped).alias("pos", "x")).select("record_id", "pos", F.col("x.gap").alias("before"), F.col("x.word").alias("word"))
+    placed = docs.repartition("record_id")  # texts move, not their words; windows over a record then need no other shuffle
+    rows = placed.select("record_id", F.posexplode(zipped).alias("pos", "x")).select("record_id", "pos", F.col("x.gap").alias("before"), F.col("x.word").alias("word"))
     w = W.partitionBy("record_id").orderBy("pos")
     start = F.sum(F.length("before") + F.coalesce(F.length("word"), F.lit(0))).over(w) - F.coalesce(F.length("word"), F.lit(0))
     rows = rows.select("record_id", "pos", start.cast("int").alias("start"), F.length("word").alias("len"), "word", F.lead("before").over(w).alias("gap"))
@@ -83,7 +84,8 @@ def known_values(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] | No
     for n in sizes:
         w = windows(toks, n)
         runs = w if runs is None else runs.unionByName(w)
-    both = runs.join(goals, ["record_id", "n"])
+    # No accepted word is more than two edits away, so the first words' keys settle most pairs before their arrays are read.
+    both = runs.join(goals, ["record_id", "n"]).where(F.levenshtein(F.get("keys", F.lit(0)), F.get("t_keys", F.lit(0)), 2) >= 0)
     person = F.col("kind").isin(*PERSONS)
     scores = F.zip_with(F.arrays_zip("words", "keys"), F.arrays_zip("t_words", "t_keys"), lambda a, b: _word_score(a["words"], a["keys"], b["t_words"], b["t_keys"], person))
     breaks = F.exists(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,10 +76,11 @@ def paired(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: int = 202609
     left, right = a.select("record_id", *(F.col(c).alias(f"a_{c}") for c in ("covered", "sensitive", "leaked"))), b.select("record_id", *(F.col(c).alias(f"b_{c}") for c in ("covered", "sensitive", "leaked")))
     both = left.join(right, "record_id")
     u = (F.pmod(F.xxhash64("record_id", "sample", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).cast("double")
-    cdf, p = [], 2.718281828459045**-1
-    for k in range(12):
-        cdf.append(sum([p / f for f in _factorials(k + 1)]))
-    weight = F.when(F.col("sample") < 0, 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= u)))
+    below = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    drawn_ = F.lit(len(below))
+    for k in reversed(range(len(below))):
+        drawn_ = F.when(u < below[k], k).otherwise(drawn_)
+    weight = F.when(F.col("sample") < 0, 1).otherwise(drawn_)
     rows = both.withColumn("sample", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1)))).withColumn("w", weight)
     sums = rows.groupBy("sample").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(c).cast("double")).alias(c) for c in both.columns[1:]))
     sums = sums.where("n > 0 AND a_sensitive > 0 AND b_sensitive > 0").select("sample", (F.col("a_covered") / F.col("a_sensitive") - F.col("b_covered") / F.col("b_sensitive")).alias("recall"), ((F.col("a_leaked") - F.col("b_leaked")) / F.col("n")).alias("leak"))
@@ -85,13 +88,6 @@ def paired(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: int = 202609
     return sums.agg(*(x for c in ("recall", "leak") for x in (F.max(F.when(F.col("sample") < 0, F.col(c))).alias(f"{c}_difference"), F.percentile(drawn(c), 0.025).alias(f"{c}_lower"), F.percentile(drawn(c), 0.975).alias(f"{c}_upper"))))
 
 
-def _factorials(n: int) -> list[int]:
-    out = [1]
-    for i in range(1, n):
-        out.append(out[-1] * i)
-    return out
-
-
 def kappa(n: Column, a: Column, b: Column, both: Column) -> Column:
     """Cohen's kappa over characters from the text's length and the marked characters of each and of both."""
     seen = (both + (n - a - b + both)) / n

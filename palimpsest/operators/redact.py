@@ -134,7 +134,7 @@ class Result:
 def redact(docs: DataFrame, roster: DataFrame | None = None, vault: DataFrame | None = None, policy: Policy | None = None, lineage: Lineage | None = None, zips: DataFrame | None = None, sizes: tuple[int, ...] | None = None) -> Result:
     """Detects, resolves, replaces and reads its own output back with the same rules and roster."""
     policy, lineage = policy or Policy(), lineage or Lineage()
-    docs = D.guarded(docs)
+    docs = D.guarded(docs).repartition("record_id")  # once: rules, words, windows and spans of a record stay where its text is
     roster = written(D.widened(docs, roster, lineage), "roster") if roster is not None else None
     sizes = sizes or (D.word_counts(roster) if roster is not None else (1,))
     applied = written(replaced(docs, resolve(detect(docs, roster, lineage, sizes), policy), vault, policy, lineage, zips), "applied")

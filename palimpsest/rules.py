@@ -73,7 +73,8 @@ class Rule:
 
 
 _R = Rule
-#: The patterns. Where a look-behind or a list holds white space, its length is bounded; digits are ASCII.
+#: The patterns. Where a look-behind or a list holds white space, its length is bounded; digits are ASCII. A look-ahead
+#: before a look-behind spares reading back from places where the rule can't match.
 RULES: list[Rule] = [
     _R("email", "Email", r"\b[\p{L}\p{Nd}_.%+-]+@[\p{L}\p{Nd}_.-]+\.[A-Za-z]{2,}\b", 0.99),
     _R("email-spoken", "Email", r"\b[\p{L}\p{Nd}_+-]+(?:(?:\s+(?:dot|punto)\s+|\.)[\p{L}\p{Nd}_+-]+)*\s+(?:at|arroba)\s+[\p{L}\p{Nd}_-]+(?:(?:\s+(?:dot|punto)\s+|\.)[\p{L}\p{Nd}_-]+)*(?:\s+(?:dot|punto)\s+|\.){{tld}}\b", 0.9),
@@ -82,8 +83,8 @@ RULES: list[Rule] = [
     _R("phone-us", "Phone", r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])", 0.95),
     _R("ssn-us", "AccountNumber", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", 0.99),
     _R("record-number", "RecordNumber", r"\b(?:mrn|medical record(?: number)?|chart number|expediente)\s*[:#]?\s*[0-9]{4,12}\b", 0.95),
-    _R("zip-us", "PostalCode", r"(?<=\b(?:zip(?:\s{0,4}code)?|postal\s{1,4}code|c[oó]digo\s{1,4}postal)(?:\s{0,4}[:#]|\s{1,4}(?:is|es|was|era))?\s{0,4}|(?-i:\b{{us-state-code}})\s{1,4}|\b{{us-state}},?\s{1,4})[0-9]{5}(?:-[0-9]{4})?(?![0-9])", 0.95),
-    _R("state-us", "State", r"\b{{us-state}}\b|(?-i:(?<=\b\p{Lu}\p{Ll}{1,30},[ ]?){{us-state-code}}\b)|(?-i:\b{{us-state-code}}(?=\s+[0-9]{5}(?:-[0-9]{4})?(?![0-9])))", 0.9),
+    _R("zip-us", "PostalCode", r"(?=[0-9]{5})(?<=\b(?:zip(?:\s{0,4}code)?|postal\s{1,4}code|c[oó]digo\s{1,4}postal)(?:\s{0,4}[:#]|\s{1,4}(?:is|es|was|era))?\s{0,4}|(?-i:\b{{us-state-code}})\s{1,4}|\b{{us-state}},?\s{1,4})[0-9]{5}(?:-[0-9]{4})?(?![0-9])", 0.95),
+    _R("state-us", "State", r"\b{{us-state}}\b|(?-i:(?=[A-Z]{2}\b)(?<=\b\p{Lu}\p{Ll}{1,30},[ ]?){{us-state-code}}\b)|(?-i:\b{{us-state-code}}(?=\s+[0-9]{5}(?:-[0-9]{4})?(?![0-9])))", 0.9),
     _R("city-us", "City", r"(?-i:\b(?!{{sentence-opener}}\b)\p{Lu}\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)?(?:(?:[ -]|\s(?:de|del|la|las|los|el)\s)\p{Lu}\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)?){0,2})(?=,?\s+{{us-state}}\b|(?-i:,\s?{{us-state-code}}\b|\s+{{us-state-code}}\s+[0-9]{5}(?![0-9])))", 0.85),
     _R("street-us", "Address", r"(?-i:\b[0-9]{1,6}[A-Z]?\s+(?:{{directional-us}}\.?\s+)?(?:(?:\p{Lu}\p{Ll}+|[0-9]{1,3}(?:st|nd|rd|th))\s+){1,3}{{street-suffix-us}}\b(?:\s+{{directional-us}}\b)?(?:,?\s+{{unit-us}}\.?\s*#?\s*[A-Za-z0-9-]{1,6}\b)?)", 0.9),
     _R("street-name-us", "Address", r"(?-i:\b(?!{{sentence-opener}}\b)(?:\p{Lu}\p{Ll}+\s+){1,3}{{thoroughfare-us}}\b)", 0.85),
