@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     members = tested.select(F.col("__a").alias("__hub"), F.col("__b").alias("__node"), F.col("__sim").alias("__near"))
     members = members.unionByName(members.select("__hub", F.col("__hub").alias("__node"), F.lit(1.0).alias("__near")).distinct()).join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
     mixed = members.groupBy("__hub").agg(F.count("*").alias("__n"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__n > 2 AND __lo <> __hi").select("__hub", "__n")
-    open_ = C.written(members.join(mixed, "__hub"), "open")
+    open_ = C.written(C.looked_up(members, C.written(mixed, "mixed"), ["__hub"]), "open")
     few = open_.where(F.col("__n") <= SMALL)
     right = few.select("__hub", F.col("__node").alias("__b"), F.col("__comp").alias("__other"), F.col("__near").alias("__far"))
     pairs = few.join(right, "__hub").where("__comp < __other").where(F.abs(F.col("__near") - F.col("__far")) <= 1 - threshold + 1e-9)
