@@ -10,7 +10,8 @@ blocks that belong to the template itself are template text; the blocks between
 Which slots are the article is told by the tags and class names that stand above them: those of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments are left out; where there is an `article` or `main`, only its
 blocks count. Else slots whose text, over the host, is mostly links are left out as well. Template text inside an article is
-left out only where it stands on every one of at least `CONSTANT` pages of its host.
+left out only where it stands on every one of at least `CONSTANT` pages of its host, and never where nothing else is there.
+Copies of a page are one page of their host: each counts for its share.
 
 Defined cases: null html counts as empty and gives empty text; pages of hosts with few pages, and null or odd urls (one host
 of their own), have no template and go by names alone; unclosed and misnested tags close with their parents; repeated rows
@@ -168,11 +169,11 @@ class Page:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, kind, n, vector, chars, linked, page, place) of each distinct token of a page; kind 2 is a slot's path."""
+    """(host, key, kind, n, vector, chars, linked, page, place, copies) of each distinct token of a page; kind 2 is a slot's path."""
     for batch in batches:
         for a, b in C.text_chunks(batch.column(1)):
             rows: list[tuple] = []
-            for name, html in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+            for name, html, copies in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(3)), strict=True):
                 page = Page(html or "")
                 h = _key(html or "")
                 mark = xxhash.xxh32_intdigest(h.to_bytes(8, "little"))
@@ -180,15 +181,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first: dict[int, int] = {}
                 for i, k in enumerate(page.keys):
                     first.setdefault(k, i)
-                rows += [(name, k, int(k in texts), n, n * mark, 0, 0, h, first[k]) for k, n in Counter(page.keys).items()]
+                rows += [(name, k, int(k in texts), n, n * mark, 0, 0, h, first[k], copies) for k, n in Counter(page.keys).items()]
                 chars: dict[int, list[int]] = {}
                 for _, _, path, text, linked, _, _ in page.blocks:
                     x = chars.setdefault(path, [0, 0])
                     x[0], x[1] = x[0] + len(text), x[1] + linked
-                rows += [(name, p, 2, 1, 0, c, l, h, 0) for p, (c, l) in chars.items()]
-            names = ["host", "key", "kind", "n", "vector", "chars", "linked", "page", "place"]
-            kinds = (pa.string(), pa.int64(), pa.int32(), *(pa.int64(),) * 6)
-            cols = zip(*rows, strict=True) if rows else ((),) * 9
+                rows += [(name, p, 2, 1, 0, c, l, h, 0, copies) for p, (c, l) in chars.items()]
+            names = ["host", "key", "kind", "n", "vector", "chars", "linked", "page", "place", "copies"]
+            kinds = (pa.string(), pa.int64(), pa.int32(), *(pa.int64(),) * 7)
+            cols = zip(*rows, strict=True) if rows else ((),) * 10
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -197,12 +198,17 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages has host and html. Counts per host and token are summed before and after the shuffle; what is collected for a host
     is its template, whose tokens each stand on half of its pages or more, so at most twice a page's tokens."""
-    counts = pages.mapInArrow(_counted, "host string, key long, kind int, n long, vector long, chars long, linked long, page long, place long")
+    pages = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("sum"))
+    copies = C.written(pages.groupBy("host", "sum").agg(F.count("*").alias("copies")), "copies")
+    repeated = C.written(copies.where("copies > 1"), "repeated")
+    weighed = C.looked_up(pages, repeated, ["host", "sum"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    counts = weighed.mapInArrow(_counted, "host string, key long, kind int, n long, vector long, chars long, linked long, page long, place long, copies long")
+    share = lambda c: F.sum(c / F.col("copies"))
     sums = counts.groupBy("host", "key", "kind").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min(F.struct("page", "place")).alias("first")
+        F.round(share(F.lit(1))).cast("long").alias("support"), F.sum("n").alias("total"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), share(F.col("chars")).alias("chars"), share(F.col("linked")).alias("linked"), F.min(F.struct("page", "place")).alias("first")
     )
     sums = C.written(sums.where(F.col("support") >= LEAST_PAGES), "tokens")
-    sizes = C.written(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    sizes = C.written(copies.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     frequent = C.looked_up(sums, sizes, ["host"], rows=HOSTS).where(F.col("support") >= F.col("pages") * LEAST_SHARE)
     tokens = frequent.where("kind < 2")
     classes = tokens.groupBy("host", "support", "total", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_TOKENS)
@@ -239,17 +245,18 @@ def main_text(page: Page, tokens: list[dict] | None, linked: set[int]) -> tuple[
                 if t["kind"] == 1:
                     constant[t["key"]] = t["everywhere"] and t["support"] >= CONSTANT
     inside = any(b[5] and not b[6] for b in page.blocks)
-    out = []
+    out, dropped = [], []
     for _, key, path, text, chars, article, left_out in page.blocks:
         if left_out or (inside and not article):
             continue
         if key in constant and (not article or constant[key]):
+            dropped += [text] if article else []
             continue
         if not article and (path in linked or chars > len(text) * LINKED and len(text) < 200):
             continue
         out.append(text)
     slots = len({int(np.searchsorted(places, b[0])) for b in page.blocks if b[1] not in constant})
-    return "\n".join(out), len(places), slots
+    return "\n".join(out or dropped), len(places), slots
 
 
 def _extracted(keep: list[str]):
