@@ -100,7 +100,7 @@ def redact_full(spark: SparkSession, sf: str) -> DataFrame:
     roster = _roster(docs)
     vault = V.minted(roster.select(_pooled(F.col("subject_id")).alias("subject_id")), V.empty(spark), Lineage())
     roster = roster.withColumn("subject_id", _pooled(F.col("subject_id")))
-    out = R.redact(docs, roster, vault, sizes=(1,))
+    out = R.redact(docs, roster, vault)
     return out.manifest.select(F.col("record_id").alias("doc_id"), "text_length", "input_sha256", "output_sha256", "subjects", "residual_spans", F.size(F.coalesce(F.map_keys("by_kind"), F.array())).alias("kinds"))
 
 
