@@ -325,7 +325,7 @@ def annotator_kappa(spark: SparkSession, sf: str) -> DataFrame:
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     gold, found = _gold_found(spark, sf)
     docs = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("record_id"), F.lit("").alias("text"), F.lit("").alias("redacted"))
-    return E.paired(E.scores(gold, found, docs), E.scores(gold, found.where("confidence > 0.8"), docs), resamples=200)
+    return E.paired(E.scores(gold, found, docs), E.scores(gold, found.where("confidence > 0.8"), docs), resamples=1000)
 
 
 _PAIR_SQL = _SCORES_SQL.replace("confidence > 0.7", "confidence > 0.8")
@@ -475,6 +475,28 @@ def relatives(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT record_id::BIGINT AS record_id, digits FROM (VALUES (1, '5551234'), (3, '90210')) t(record_id, digits)")
 def to_digits(spark: SparkSession, sf: str) -> DataFrame:
     said = spark.createDataFrame([(1, "five five five one two three four"), (2, "five apples"), (3, "nine zero two one oh")], "record_id long, text string")
-    table = F.create_map(*(F.lit(x) for kv in DIGITS.items() for x in kv))
-    ds = F.transform(F.split("text", " "), lambda w: F.element_at(table, w))
-    return said.withColumn("ds", ds).where(~F.exists("ds", lambda d: d.isNull())).select("record_id", F.array_join("ds", "").alias("digits"))
+    return said.select("record_id", T.to_digits(F.col("text"), DIGITS).alias("digits")).where("digits IS NOT NULL")
+
+
+# ---- the same rules over all documents ----
+@query()
+def spoken_digits_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return D.spoken_digits(_docs(spark, sf)).select(F.col("record_id").alias("doc_id"), "kind", "start", "len")
+
+
+@query()
+def birth_year_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf).withColumn("recorded_on", F.lit("2026-01-01").cast("date"))
+    return D.birth_years(docs, D.patterns(docs)).where("kind = 'AgeOver89' AND detector_id = 'birth-year'").select(F.col("record_id").alias("doc_id"), "start", "len")
+
+
+@query()
+def relatives_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return D.relatives(_docs(spark, sf)).select(F.col("record_id").alias("doc_id"), "seq", "name", "kind")
+
+
+@query()
+def to_digits_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The digits of every run of digit words."""
+    runs = _docs(spark, sf).select(F.col("record_id").alias("doc_id"), F.explode(T.spans(F.col("text"), D._RUN)).alias("s"))
+    return runs.select("doc_id", "s.start", T.to_digits(F.col("s.value"), DIGITS).alias("digits")).where("digits IS NOT NULL")
