@@ -6,9 +6,10 @@ recogniser would. Spans at scale come from `lineitem`: a record is an order, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -95,18 +96,21 @@ def redact_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def redact_full(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules and a derived roster, surrogates from a minted vault, read-back and manifest."""
+    """All rules and every title-case word as a roster value, a name for each subject, read-back and manifest."""
     docs = _docs(spark, sf).withColumn("recorded_on", F.lit("2026-01-01").cast("date"))
-    roster = _roster(docs)
-    vault = V.minted(roster.select(_pooled(F.col("subject_id")).alias("subject_id")), V.empty(spark), Lineage())
-    roster = roster.withColumn("subject_id", _pooled(F.col("subject_id")))
-    out = R.redact(docs, roster, vault)
+    roster = _roster(docs, None)
+    subjects = roster.select("subject_id").distinct()
+    lineage = Lineage(pools=_pools(subjects.count()))
+    out = R.redact(docs, roster, V.minted(subjects, V.empty(spark), lineage), lineage=lineage)
     return out.manifest.select(F.col("record_id").alias("doc_id"), "text_length", "input_sha256", "output_sha256", "subjects", "residual_spans", F.size(F.coalesce(F.map_keys("by_kind"), F.array())).alias("kinds"))
 
 
-def _pooled(subject: Column) -> Column:
-    """Fewer subjects than the pool has names."""
-    return F.concat(F.lit("p"), F.pmod(F.xxhash64(subject), F.lit(40)).cast("string"))
+def _pools(subjects: int) -> dict[str, list[str]]:
+    """Given and family names, made of syllables, whose pairs suffice for the subjects."""
+    parts = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiou"]
+    n, side = len(parts), max(10, math.isqrt(max(subjects - 1, 0)) + 1)
+    name = lambda i: (parts[i % n] + parts[i // n % n] + parts[i // n**2 % n]).capitalize()
+    return {"given": [name(i) + "l" for i in range(side)], "family": [name(i) + "rk" for i in range(side)]}
 
 
 # ---- words and keys ----
@@ -160,8 +164,10 @@ def explain_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- roster ----
-def _roster(docs: DataFrame) -> DataFrame:
-    words = docs.select("record_id", F.explode(F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)), 1, 3))).alias("w"))
+def _roster(docs: DataFrame, first: int | None = 3) -> DataFrame:
+    """The first title-case words of each text, as the SQL takes them, or all of them."""
+    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))
+    words = docs.select("record_id", F.explode(F.array_distinct(F.slice(found, 1, first) if first else found)).alias("w"))
     damaged = F.when(F.contains("w", F.lit("s")), F.replace("w", F.lit("s"), F.lit("z"))).when(F.length("w") >= 7, F.substring(F.col("w"), F.lit(1), F.length("w") - 1)).otherwise(F.col("w"))
     return words.select("record_id", F.concat_ws("-", F.col("record_id").cast("string"), "w").alias("subject_id"), damaged.alias("value"), F.lit("PatientName").alias("kind"))
 
