@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents of each language that training reads, and languages it learns, the most frequent first.
-SAMPLE, LANGUAGES = 500, 64
+#: Documents of each language that training reads; every language is learned.
+SAMPLE = 500
 SEGMENT, GRAMS, AFFIXES, LEXICON = 64, 1 << 16, 1 << 14, 40_000
 _LETTER = re.compile(r"[^\W\d_]")
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -220,7 +220,7 @@ def shares(model: Model, texts: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Trains on about `sample` documents a language outside the held-out fold, picked by hash; None if there are none."""
     seen = docs.where(~C.held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = seen.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = seen.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
     if not counts:
         return None
     share: Column = F.lit(0.0)
