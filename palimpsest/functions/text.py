@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters of the Latin blocks with marks, and what is left of each without its marks.
 _MARKED = {chr(c): base for c in range(0xC0, 0x250) if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)}
-WORD = r"[\p{L}\p{Nd}\p{M}]+(?:['’\-‐][\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*)*"
+#: Possessive loops: a word of any number of parts is matched without recursion.
+WORD = r"[\p{L}\p{Nd}\p{M}]++(?:['’\-‐][\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*+)*+"
 #: Applied in order to a folded word; capitals are final, so that no output is rewritten.
 KEY_RULES = (
     ("ph", "F"), ("qu?", "K"), ("ch", "CH"), ("c(?=[ei])", "S"), ("c", "K"), ("g(?=[ei])", "Y"), ("y(?=[aeiou])", "Y"), ("y", "I"), ("[vw]", "B"),
     ("z", "S"), ("j", "Y"), (r"h|[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}]", ""), ("^x", "S"), ("x", "KS"),
 )
 SHORT, LONG = 4, 8
+#: Hits whose places are summed up in one go.
+BLOCK = 256
 
 
 def strip_accents(text: Column) -> Column:
@@ -35,28 +39,68 @@ def contains(haystack: Column, needle: Column) -> Column:
     return F.contains(fold(haystack), fold(needle))
 
 
+def spaced(text: Column) -> Column:
+    """Folded letters and digits, a space before, after and instead of all else."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{Nd}]+", " ")), F.lit(" "))
+
+
 def contains_words(haystack: Column, needle: Column) -> Column:
     """needle stands in haystack with no letter or digit beside it."""
-    spaced = lambda x: F.concat(F.lit(" "), F.regexp_replace(fold(x), r"[^\p{L}\p{Nd}]+", " "), F.lit(" "))
-    return F.contains(spaced(haystack), F.regexp_replace(spaced(needle), "  +", " ")) & (F.length(F.trim(needle)) > 0)
+    return F.contains(spaced(haystack), spaced(needle)) & (F.length(F.trim(spaced(needle))) > 0)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _starts(gaps: Column, hits: Column) -> Column:
+    """array<int>: where each hit starts. Sums run inside blocks of BLOCK hits, so that no step copies more than a block's."""
+    none = F.array().cast("array<int>")
+
+    def block(at: Column, part: Column) -> Column:
+        add = lambda a, s: F.struct((a["at"] + s["g"] + s["h"]).alias("at"), F.concat(a["out"], F.array(a["at"] + s["g"])).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), add)
+
+    def over(x: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK)))
+        done = F.aggregate(parts, F.array(F.struct(F.lit(0).alias("at"), none.alias("out"))), lambda acc, p: F.concat(acc, F.array(block(F.element_at(acc, -1)["at"], p))))
+        return F.flatten(F.transform(done, lambda d: d["out"]))
+
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    return bound(lengths, over)
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """The hits of a pattern and the gaps around them; a zero-length hit at the start leaves one gap too few, hence the filler."""
+    return F.struct(F.concat(F.split(text, pattern, -1), F.array(F.lit(""))).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
+
+
+def cut_spans(x: Column) -> Column:
+    """array<struct<start, len, value>> of a cut text's hits."""
+    found = F.zip_with(_starts(x["g"], x["h"]), x["h"], lambda s, v: F.struct(s.alias("start"), F.length(v).alias("len"), v.alias("value")))
+    return F.filter(found, lambda p: p["len"] > 0)
+
+
+def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, len, value>> of the leftmost matches; the gaps between matches give their places."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<start:int,len:int,value:string>>"
-    steps = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))), lambda s: s["h"].isNotNull())
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, s: F.struct((acc["at"] + s["g"] + F.length(s["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + s["g"]).alias("start"), F.length(s["h"]).alias("len"), s["h"].alias("value")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(placed, lambda p: p["len"] > 0)).otherwise(F.array().cast(kind))
+    none = F.array().cast("array<struct<start:int,len:int,value:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(cut(text, pattern), cut_spans)).otherwise(none)
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<start, len, word, gap>>: the words with their places and the text up to the next word."""
+
+    def made(x: Column) -> Column:
+        places = F.zip_with(_starts(x["g"], x["h"]), x["h"], lambda s, v: F.struct(s.alias("start"), F.length(v).alias("len"), v.alias("word")))
+        return F.zip_with(places, F.slice(x["g"], 2, F.size(x["h"])), lambda p, g: F.struct(p["start"].alias("start"), p["len"].alias("len"), p["word"].alias("word"), g.alias("gap")))
+
+    return bound(cut(F.coalesce(text, F.lit("")), WORD), made)
 
 
 def collapse(x: Column) -> Column:
@@ -106,5 +150,22 @@ def tightened(text: Column) -> Column:
     return F.regexp_replace(text, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
 
 
-def utf16_length(text: Column) -> Column:
-    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+def utf16_slice(text: Column, start: Column, length: Column) -> Column:
+    """The part of a text that stands at UTF-16 offsets."""
+    return F.decode(F.substring(F.encode(text, "UTF-16BE"), start * 2 + 1, length * 2), "UTF-16BE")
+
+
+#: Code points of a chunk of a long text.
+CHUNK = 1024
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, length: Column) -> Column:
+    """The part of a chunked text from a code point on."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + F.greatest(length, F.lit(1)) - 1) / CHUNK).cast("int")
+    joined = F.when(first == last, F.get(pieces, first)).otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
+    return F.when(length <= 0, "").otherwise(F.substring(F.coalesce(joined, F.lit("")), start - first * CHUNK + 1, length))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,12 +79,39 @@ def corrected(spans: DataFrame, reviews: DataFrame) -> DataFrame:
     return rows.select("record_id", F.coalesce("s2", "start").alias("start"), F.coalesce("l2", "len").alias("len"), "kind", F.when(F.col("s2").isNotNull(), "reviewed").otherwise(F.col("flag")).alias("flag"))
 
 
+def _words(text: str) -> list[tuple[int, int, str]]:
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)).casefold()
+    return [(m.start(), m.end(), bare(m.group())) for m in re.finditer(r"\w+", text)]
+
+
 def survival(before: str, after: str, spans: list[tuple[int, int]]) -> list[str]:
-    """For each span of `before` whether its words are whole, partial or gone in `after`."""
-    left = {re.sub(r"\W", "", m.group().lower()) for m in _WORD.finditer(after)}
+    """For each span of `before` whether it is whole, partial or gone in `after`.
+
+    The words of both are aligned, so that a word elsewhere is not taken for the span's; what was moved counts as whole if all its
+    words, or four digits or more, stand together somewhere."""
+    a, b = _words(before), _words(after)
+    kept = {i for i, j, n in difflib.SequenceMatcher(None, [w for *_, w in a], [w for *_, w in b], autojunk=False).get_matching_blocks() for i in range(i, i + n)}
+    line = " " + " ".join(w for *_, w in b) + " "
     out = []
     for start, length in spans:
-        words = [w for w in (re.sub(r"\W", "", x.lower()) for x in before[start : start + length].split()) if w]
-        n = sum(w in left for w in words)
-        out.append("whole" if words and n == len(words) else "partial" if n else "gone")
+        own = [i for i, (s, e, _) in enumerate(a) if s < start + length and start < e]
+        stay = [i for i in own if i in kept]
+        digits = re.findall(r"\d", before[start : start + length])
+        moved = bool(own) and " " + " ".join(a[i][2] for i in own) + " " in line
+        moved = moved or len(digits) >= 4 and re.search(r"(?<!\d)" + r"[\s\-.()/]*".join(digits) + r"(?!\d)", after) is not None
+        out.append("whole" if own and len(stay) == len(own) or moved else "partial" if stay else "gone")
     return out
+
+
+def assessed(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """gold (record_id, start, len, kind) with `fate`: how each span of a text stands in its final text (docs: record_id, text, final)."""
+    lists = gold.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("start", "len", "kind"))).alias("xs"))
+    rows = docs.select("record_id", "text", "final").join(lists, "record_id")
+    kind = rows.schema["record_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [(r.record_id, x["start"], x["len"], x["kind"], fate) for r in frame.itertuples() for x, fate in zip(r.xs, survival(r.text or "", r.final or "", [(x["start"], x["len"]) for x in r.xs]), strict=True)]
+            yield pd.DataFrame(made, columns=["record_id", "start", "len", "kind", "fate"])
+
+    return rows.mapInPandas(run, f"record_id {kind}, start int, len int, kind string, fate string")

@@ -6,41 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import LISTS, Lineage, Policy
-from ..sources.tables import written
+from ..sources.tables import scratch, written
 from . import detect as D
 from . import evaluate as E
 from . import redact as R
 
-#: The detectors of each configuration; spoken digits, birth years and relatives run in all of them.
-CONFIGURATIONS = {"full": ("known", "patterns"), "deny-list": ("deny", "patterns"), "known-values-only": ("known",), "patterns-only": ("patterns",)}
+#: The detectors of each configuration; said digits, years of birth and relatives run in all of them.
+CONFIGURATIONS = {"full": ("known-values", "patterns"), "deny-list": ("deny-list", "patterns"), "known-values-only": ("known-values",), "patterns-only": ("patterns",)}
+
+
+def in_scope(docs: DataFrame, roster: DataFrame, lineage: Lineage) -> DataFrame:
+    """(record_id, kind): the kinds that some rule finds, and those of the record's roster."""
+    rules = F.array(*map(F.lit, sorted({r.kind for r in lineage.compiled()[0]})))
+    return docs.select("record_id", F.explode(rules).alias("kind")).unionByName(roster.select("record_id", "kind")).distinct()
 
 
 def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Lineage | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores (configuration, record_id, ...), in scope and over all kinds, and (configuration, kind, ...) for each configuration.
 
-    In scope are the kinds that some rule finds and those of the document's roster."""
+    Each detector runs once; a configuration is a choice among its candidates. A text beyond the limit has no spans."""
     lineage = lineage or Lineage()
-    docs = D.guarded(docs)
-    wide = written(D.widened(docs, roster, lineage), "roster")
-    kinds = docs.sparkSession.createDataFrame([(k,) for k in sorted({r.kind for r in lineage.rules})], "kind string")
-    scope = docs.select("record_id").crossJoin(F.broadcast(kinds)).unionByName(roster.select("record_id", "kind")).distinct()  # kinds: at most 21
-    inside = written(gold.join(scope, ["record_id", "kind"], "left_semi"), "gold")
-    scores, by_kind = None, None
-    for name, parts in CONFIGURATIONS.items():
-        found = D.spoken_digits(docs)
-        if "patterns" in parts:
-            found = D.patterns(docs, lineage).unionByName(found)
-        if "known" in parts:
-            found = D.known_values(docs, wide).unionByName(found)
-        if "deny" in parts:
-            found = D.deny_list(docs, wide).unionByName(found)
-        found = D.birth_years(docs, found) if "recorded_on" in docs.columns else found
-        spans = written(R.replaced(docs, R.resolve(found), None, Policy(), lineage), "spans")
-        out = written(R.splice(docs, spans).select("record_id", "text", "redacted"), "texts")
-        s = E.scores(inside, spans, out).withColumn("scope", F.lit("in")).unionByName(E.scores(gold, spans, out).withColumn("scope", F.lit("all"))).withColumn("configuration", F.lit(name))
-        k = E.by_kind(gold, spans).withColumn("configuration", F.lit(name))
-        scores, by_kind = s if scores is None else scores.unionByName(s), k if by_kind is None else by_kind.unionByName(k)
-    return written(scores, "scores"), written(by_kind, "kinds")
+    whole = D.placed(D.guarded(docs))
+    docs = whole.where("refused IS NULL")
+    spark = docs.sparkSession
+    with scratch(spark):
+        wide = written(D.widened(roster, D.unlisted(docs, roster, lineage)), "roster")
+        inside = written(gold.join(in_scope(docs, roster, lineage), ["record_id", "kind"], "left_semi"), "gold")
+        parts = {"said": D.spoken_digits(docs)} | {d.id: d.detect(docs, wide) for d in (D.Patterns(lineage), D.KnownValues(lineage), D.DenyList(lineage))}
+        found = None
+        for name, rows in parts.items():
+            rows = rows.select(*D.CANDIDATE, F.lit(name).alias("part"))
+            found = rows if found is None else found.unionByName(rows)
+        found = written(found, "found")
+        scores, by_kind = None, None
+        for name, chosen in CONFIGURATIONS.items():
+            own = found.where(F.col("part").isin("said", *chosen)).drop("part")
+            own = D.birth_years(docs, own) if "recorded_on" in docs.columns else own
+            spans = written(R.replaced(docs, R.resolve(own), None, Policy(), lineage), "spans")
+            out = written(R.splice(whole, spans).select("record_id", "text", "redacted"), "texts")
+            s = E.scores(inside, spans, out).withColumn("scope", F.lit("in")).unionByName(E.scores(gold, spans, out).withColumn("scope", F.lit("all"))).withColumn("configuration", F.lit(name))
+            k = E.by_kind(gold, spans, out).withColumn("configuration", F.lit(name))
+            scores, by_kind = s if scores is None else scores.unionByName(s), k if by_kind is None else by_kind.unionByName(k)
+        return written(scores, "scores", keep=True), written(by_kind, "kinds", keep=True)
 
 
 def readable_ids(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:

@@ -1,65 +1,71 @@
 """Detectors: documents (record_id, text, ...) and a roster (record_id, subject_id, value, kind) to candidate spans.
 
-Candidates are (record_id, start, len, kind, detector_id, confidence, subject_id, match); they never carry text. Roster values
-meet only the words of their own record: the join is on record and number of words, and the phonetic tolerance is its filter.
+Candidates are (record_id, start, len, kind, detector_id, confidence, subject_id, match); they never carry text. A text's words
+stay in one array. Its distinct words, with their keys, meet the words of its own record's roster; only the places of words that
+match become rows, so no row stands for a word that matches nothing.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..rules import BIRTH_CUE, DIGITS, KINDS, LISTS, MAX_CHARACTERS, PERSONS, RULES, Lineage
+from ..rules import BIRTH_CUE, DIGITS, KINDS, LISTS, MAX_CHARACTERS, NEEDS, PERSONS, RULES, Lineage, expanded, short
+from ..sources.tables import written
 
 CANDIDATE = ["record_id", "start", "len", "kind", "detector_id", "confidence", "subject_id", "match"]
 _ALT = lambda name: "|".join(w.replace(" ", r"\s+") for w in sorted(LISTS[name], key=lambda w: (-len(w), w)))
 
 
+class Detector(Protocol):
+    """What `redact` runs: candidates of documents and a roster (without rows where there is none). The rest is for the manifest."""
+
+    id: str
+
+    def detect(self, docs: DataFrame, roster: DataFrame) -> DataFrame: ...
+
+    def fingerprint(self) -> str: ...
+
+    def rules(self) -> tuple[int, list[str]]:
+        """Rules loaded, and the ids of those skipped."""
+        ...
+
+
 def unaccented(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
 
 
 def guarded(docs: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
-    """Refuses texts beyond the limit; nothing is cut."""
-    return docs.withColumn("text", F.when(F.length("text") > most, F.raise_error(F.lit(f"a text has more than {most} characters"))).otherwise(F.coalesce("text", F.lit(""))))
-
-
-def tokens(docs: DataFrame) -> DataFrame:
-    """(record_id, pos, start, len, word, key, gap): words with their places and the text up to the next word."""
-    zipped = F.arrays_zip(F.split("text", T.WORD, -1).alias("gap"), T.words(F.col("text")).alias("word"))
-    placed = docs.repartition("record_id")  # texts move, not their words; windows over a record then need no other shuffle
-    rows = placed.select("record_id", F.posexplode(zipped).alias("pos", "x")).select("record_id", "pos", F.col("x.gap").alias("before"), F.col("x.word").alias("word"))
-    w = W.partitionBy("record_id").orderBy("pos")
-    start = F.sum(F.length("before") + F.coalesce(F.length("word"), F.lit(0))).over(w) - F.coalesce(F.length("word"), F.lit(0))
-    rows = rows.select("record_id", "pos", start.cast("int").alias("start"), F.length("word").alias("len"), "word", F.lead("before").over(w).alias("gap"))
-    return rows.where("word IS NOT NULL").withColumn("key", T.phonetic_key(F.col("word")))
-
-
-def windows(toks: DataFrame, n: int) -> DataFrame:
-    """Runs of n words: (record_id, n, start, len, words, keys, gaps)."""
-    w = W.partitionBy("record_id").orderBy("pos")
-    at = lambda c, i: F.lead(c, i).over(w) if i else F.col(c)
-    return toks.select(
-        "record_id",
-        F.lit(n).alias("n"),
-        "start",
-        (at("start", n - 1) + at("len", n - 1) - F.col("start")).alias("len"),
-        F.array(*(at("word", i) for i in range(n))).alias("words"),
-        F.array(*(at("key", i) for i in range(n))).alias("keys"),
-        (F.array(*(at("gap", i) for i in range(n - 1))) if n > 1 else F.array().cast("array<string>")).alias("gaps"),
-    ).where("len IS NOT NULL")
+    """Adds `refused`: why a text is not read. Such a text is withheld whole; the other rows go on."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("text", text).withColumn("refused", F.when(F.length(text) > most, f"more than {most} characters"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Documents by record: their texts move once, so that no detector, given these, moves their words."""
+    return docs.repartition("record_id")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("record_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def targets(roster: DataFrame) -> DataFrame:
-    """Roster values as words and keys; a value with a part that has no key is dropped."""
+    """The words of roster values, a row each: (record_id, subject_id, value, kind, n, j, t_word, t_key, t_punct). A value with a
+    part that has no key is dropped; t_punct tells whether a sentence ends between this word and the next."""
     words = T.words(F.col("value"))
     gaps = F.slice(F.split("value", T.WORD, -1), 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    rows = roster.select("record_id", "subject_id", "value", "kind", words.alias("t_words"), F.transform(words, T.phonetic_key).alias("t_keys"), F.transform(gaps, lambda g: F.regexp_like(g, F.lit("[.!?…]"))).alias("t_punct"))
-    return rows.withColumn("n", F.size("t_words")).where((F.col("n") > 0) & ~F.exists("t_keys", lambda k: k == ""))
+    rows = roster.select("record_id", "subject_id", "value", "kind").where("value IS NOT NULL").distinct()
+    rows = rows.select("*", words.alias("ws"), F.transform(words, T.phonetic_key).alias("ks"), F.transform(gaps, lambda g: F.regexp_like(g, F.lit("[.!?…]"))).alias("ps"))
+    rows = rows.where((F.size("ws") > 0) & ~F.exists("ks", lambda k: k == "")).withColumn("n", F.size("ws"))
+    rows = rows.select("record_id", "subject_id", "value", "kind", "n", F.posexplode(F.arrays_zip("ws", "ks", "ps")).alias("j", "w"))
+    return rows.select("record_id", "subject_id", "value", "kind", "n", "j", F.col("w.ws").alias("t_word"), F.col("w.ks").alias("t_key"), F.coalesce("w.ps", F.lit(False)).alias("t_punct"))
 
 
 def _word_score(word: Column, key: Column, t_word: Column, t_key: Column, person: Column) -> Column:
@@ -70,62 +76,147 @@ def _word_score(word: Column, key: Column, t_word: Column, t_key: Column, person
     return F.when(key == "", 0.0).when(strict, F.when(exact, 1.0).otherwise(0.0)).otherwise(F.when(T.accepts(key, t_key), score).otherwise(0.0))
 
 
-def word_counts(roster: DataFrame) -> tuple[int, ...]:
-    """The distinct numbers of words of roster values: a few small numbers, whatever the roster's size."""
-    rows = roster.select(F.size(T.words(F.col("value"))).alias("n")).where("n > 0").distinct().collect()
-    return tuple(sorted(r["n"] for r in rows)) or (1,)
-
-
-def known_values(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] | None = None) -> DataFrame:
-    """Roster values found through spelling damage; sizes are the numbers of words that the roster's values have."""
-    toks, goals = tokens(docs), targets(roster)
-    sizes = sizes or word_counts(roster)
-    runs = None
-    for n in sizes:
-        w = windows(toks, n)
-        runs = w if runs is None else runs.unionByName(w)
-    # No accepted word is more than two edits away, so the first words' keys settle most pairs before their arrays are read.
-    both = runs.join(goals, ["record_id", "n"]).where(F.levenshtein(F.get("keys", F.lit(0)), F.get("t_keys", F.lit(0)), 2) >= 0)
-    person = F.col("kind").isin(*PERSONS)
-    scores = F.zip_with(F.arrays_zip("words", "keys"), F.arrays_zip("t_words", "t_keys"), lambda a, b: _word_score(a["words"], a["keys"], b["t_words"], b["t_keys"], person))
-    breaks = F.exists(
-        F.arrays_zip("gaps", "t_punct", F.slice("words", 1, F.size("gaps")).alias("first")),
-        lambda g: (F.length(F.regexp_replace(F.regexp_replace(g["gaps"], "\r\n?", "\n"), "[^\n]", "")) >= 2)
-        | (F.regexp_like(g["gaps"], F.lit("[.!?…]")) & ~F.coalesce(g["t_punct"], F.lit(False)) & ~((F.length(g["first"]) == 1) & F.regexp_like(g["gaps"], F.lit(r"^\.[^.!?…]*$")))),
+def _boundary(gap: Column, punct: Column, word: Column) -> Column:
+    """Whether the gap after a word ends what a value may span: a blank line, or the end of a sentence that the value lacks."""
+    lines = F.length(F.regexp_replace(F.regexp_replace(gap, "\r\n?", "\n"), "[^\n]", ""))
+    initial = (F.length(word) == 1) & F.regexp_like(gap, F.lit(r"^\.[^.!?…]*$"))
+    return (lines >= 2) | (F.regexp_like(gap, F.lit("[.!?…]")) & ~punct & ~initial)
+
+
+def _spans(texts: DataFrame, hits: DataFrame, ends: bool) -> DataFrame:
+    """Places where all words of a value stand in a row. hits: words of a record's text, each with the target word it matches and
+    a score; ends: whether sentence ends and blank lines part them."""
+    matched = hits.groupBy("record_id").agg(F.collect_set("word").alias("ms"))
+    toks = texts.select("record_id", T.tokens(F.col("text")).alias("toks")).join(matched, "record_id")
+    found = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda x: F.array_contains("ms", x["t"]["word"]))
+    rows = toks.select("record_id", F.explode(found).alias("x")).select("record_id", "x.pos", "x.t.*").join(hits, ["record_id", "word"])
+    apart = _boundary(F.col("gap"), F.col("t_punct"), F.col("word")) if ends else F.lit(False)
+    same = F.lower("word") == F.lower("t_word")
+    rows = rows.select("record_id", "subject_id", "value", "kind", "n", "start", "len", "score", same.alias("same"), (F.col("pos") - F.col("j")).alias("at"), ((F.col("j") < F.col("n") - 1) & apart).alias("cut"))
+    one = rows.where("n = 1").select("record_id", "subject_id", "kind", "start", "len", "score", "same")
+    more = rows.where("n > 1").groupBy("record_id", "subject_id", "value", "kind", "n", "at").agg(
+        F.count("*").alias("k"), F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"), F.min("score").alias("score"), F.min("same").alias("same"), F.max("cut").alias("cut")
     )
-    found = both.withColumn("confidence", F.array_min(scores)).where((F.col("confidence") > 0) & ~breaks)
-    same = F.lower(F.array_join("words", " ")) == F.lower(F.array_join("t_words", " "))
-    match = F.when(F.col("confidence") >= 1, F.when(same, "Exact").otherwise("Phonetic")).otherwise("Fuzzy")
-    return found.select("record_id", "start", "len", "kind", F.lit("known-values").alias("detector_id"), "confidence", "subject_id", match.alias("match"))
-
-
-def deny_list(docs: DataFrame, roster: DataFrame, sizes: tuple[int, ...] | None = None) -> DataFrame:
-    """The literal baseline: equal folded word runs, by an equi-join."""
-    sizes = sizes or word_counts(roster)
-    toks = tokens(docs)
-    goal = roster.select("record_id", "subject_id", "kind", F.transform(T.words(F.col("value")), T.fold).alias("f")).where(F.size("f") > 0)
-    out = None
-    for n in sizes:
-        w = windows(toks, n).select("record_id", "start", "len", F.transform("words", T.fold).alias("f"))
-        out = w if out is None else out.unionByName(w)
-    return out.join(goal, ["record_id", "f"]).select("record_id", "start", "len", "kind", F.lit("deny-list").alias("detector_id"), F.lit(1.0).alias("confidence"), "subject_id", F.lit("Exact").alias("match"))
+    more = more.where("k = n AND NOT cut").select("record_id", "subject_id", "kind", "start", (F.col("end") - F.col("start")).cast("int").alias("len"), "score", "same")
+    return one.unionByName(more)
+
+
+def _everywhere(spark: SparkSession, lineage: Lineage | None) -> Column | None:
+    """A lineage's values as literals (subject_id, value, kind, n, j, t_word, t_key, t_punct, f): they belong to every record."""
+    values = [("", v, k) for k, vs in (lineage.values if lineage else {}).items() for v in vs]
+    if not values:
+        return None
+    rows = spark.createDataFrame([(None, *v) for v in values], "record_id string, subject_id string, value string, kind string")
+    rows = targets(rows).drop("record_id").withColumn("f", T.fold(F.col("t_word"))).collect()  # a lineage's list, held on the driver
+    return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in rows)) if rows else None
+
+
+def known_values(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
+    """Roster values, and those of a lineage, found through spelling damage, word by word."""
+    texts = _texts(docs)
+    seen = texts.select("record_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).withColumn("key", T.phonetic_key(F.col("word"))).where("key <> ''")
+    # No accepted word is more than two edits away: a distance that ends early settles most pairs.
+    near = lambda key: (F.col("key") == key) | (F.levenshtein(F.col("key"), key, 2) >= 0)
+    pairs = seen.join(targets(roster), "record_id").where(near(F.col("t_key")))
+    if (shared := _everywhere(docs.sparkSession, lineage)) is not None:
+        more = seen.select("record_id", "word", "key", F.explode(F.filter(shared, lambda t: near(t["t_key"]))).alias("t")).select("record_id", "word", "key", "t.*").drop("f")
+        pairs = pairs.unionByName(more)
+    score = _word_score(F.col("word"), F.col("key"), F.col("t_word"), F.col("t_key"), F.col("kind").isin(*PERSONS))
+    found = _spans(texts, pairs.withColumn("score", score).where("score > 0"), True)
+    match = F.when(F.col("score") >= 1, F.when(F.col("same"), "Exact").otherwise("Phonetic")).otherwise("Fuzzy")
+    return found.select("record_id", "start", "len", "kind", F.lit("known-values").alias("detector_id"), F.col("score").alias("confidence"), "subject_id", match.alias("match"))
+
+
+def deny_list(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
+    """The literal baseline: equal folded words in a row, by an equi-join."""
+    texts = _texts(docs)
+    seen = texts.select("record_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).withColumn("f", T.fold(F.col("word")))
+    goal = roster.select("record_id", "subject_id", "value", "kind").distinct().withColumn("ws", T.words(F.col("value")))
+    goal = goal.select("record_id", "subject_id", "value", "kind", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "t_word")).withColumn("f", T.fold(F.col("t_word")))
+    hits = seen.join(goal, ["record_id", "f"]).select("record_id", "word", "subject_id", "value", "kind", "n", "j", "t_word")
+    if (shared := _everywhere(docs.sparkSession, lineage)) is not None:
+        more = seen.select("record_id", "word", F.explode(F.filter(shared, lambda t: t["f"] == F.col("f"))).alias("t")).select("record_id", "word", "t.*")
+        hits = hits.unionByName(more.select(*hits.columns))
+    hits = hits.withColumns({"score": F.lit(1.0), "t_punct": F.lit(False)})
+    return _spans(texts, hits, False).select("record_id", "start", "len", "kind", F.lit("deny-list").alias("detector_id"), F.lit(1.0).alias("confidence"), "subject_id", F.lit("Exact").alias("match"))
 
 
 def patterns(docs: DataFrame, lineage: Lineage | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Every match of every rule. The text is read once; a rule's places are computed only where it matches."""
+    """Every match of every rule. A rule is run only on texts that hold what it needs; a text's hits by rule become rows, and one
+    expression, whatever the number of rules, finds their places."""
     rules, _ = (lineage or Lineage()).compiled()
     rules = [r for r in rules if only is None or r.id in only]
-    each = [_named(T.spans(F.col("text"), r.regex), r) for r in rules]
-    rows = docs.select("record_id", F.explode(F.concat(*each)).alias("c"))
-    return rows.select("record_id", "c.start", "c.len", "c.kind", "c.detector_id", "c.confidence", F.lit(None).cast("string").alias("subject_id"), F.lit("Pattern").alias("match"))
+    builtin = {r.id: r.regex for r in Lineage().compiled()[0]}
+
+    def one(i: int, rule) -> Column:
+        need = NEEDS.get(rule.id) if builtin.get(rule.id) == rule.regex else None
+        like = F.regexp_like("text", F.lit(rule.regex))
+        if need is not None:
+            like = (F.contains("text", F.lit(need)) if need == "@" else F.col("digits") if need == "[0-9]" else F.regexp_like("text", F.lit(f"(?iu){expanded(need, LISTS)}"))) & like
+        return F.when(like, F.struct(F.lit(i).alias("i"), T.cut(F.col("text"), rule.regex).alias("x")))
+
+    texts = docs.select("record_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digits", F.regexp_like("text", F.lit("[0-9]")))
+    none = F.array().cast("array<struct<i:int,x:struct<g:array<string>,h:array<string>>>>")
+    rows = texts.select("record_id", F.explode(F.concat(none, F.array_compact(F.array(*(one(i, r) for i, r in enumerate(rules)))) if rules else none)).alias("c"))
+    rows = rows.select("record_id", "c.i", F.explode(T.cut_spans(F.col("c.x"))).alias("s"))
+    of = lambda values: F.get(F.array(*map(F.lit, values or [""])), F.col("i"))
+    return rows.select("record_id", "s.start", "s.len", of([r.kind for r in rules]).alias("kind"), of([f"pattern:{r.id}" for r in rules]).alias("detector_id"), of([r.confidence for r in rules]).cast("double").alias("confidence"), F.lit(None).cast("string").alias("subject_id"), F.lit("Pattern").alias("match"))
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """The rules of a lineage."""
+
+    lineage: Lineage = field(default_factory=Lineage)
+    id: str = "patterns"
 
+    def detect(self, docs: DataFrame, roster: DataFrame) -> DataFrame:
+        return patterns(docs, self.lineage)
 
-def _named(found: Column, rule) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.lit(rule.kind).alias("kind"), F.lit(f"pattern:{rule.id}").alias("detector_id"), F.lit(rule.confidence).alias("confidence")))
+    def fingerprint(self) -> str:
+        return short("\n".join(f"{r.id}|{r.kind}|{r.regex}|{r.confidence}" for r in self.lineage.compiled()[0]))
 
+    def rules(self) -> tuple[int, list[str]]:
+        loaded, skipped = self.lineage.compiled()
+        return len(loaded), skipped
 
-_WORD = f"(?:{_ALT('digit-word')})"
-_RUN = rf"(?iu)\b{_WORD}(?:(?:[ \t]*[,\-–][ \t]*|[ \t]+){_WORD})+\b"
+
+@dataclass(frozen=True)
+class KnownValues:
+    """The roster and a lineage's values, by sound."""
+
+    lineage: Lineage = field(default_factory=Lineage)
+    id: str = "known-values"
+
+    def detect(self, docs: DataFrame, roster: DataFrame) -> DataFrame:
+        return known_values(docs, roster, self.lineage)
+
+    def fingerprint(self) -> str:
+        return short(f"tolerance|{T.SHORT}|{T.LONG}|" + "|".join(f"{a}>{b}" for a, b in T.KEY_RULES))
+
+    def rules(self) -> tuple[int, list[str]]:
+        return 0, []
+
+
+@dataclass(frozen=True)
+class DenyList:
+    """The roster and a lineage's values, letter by letter."""
+
+    lineage: Lineage = field(default_factory=Lineage)
+    id: str = "deny-list"
+
+    def detect(self, docs: DataFrame, roster: DataFrame) -> DataFrame:
+        return deny_list(docs, roster, self.lineage)
+
+    def fingerprint(self) -> str:
+        return short("folded words")
+
+    def rules(self) -> tuple[int, list[str]]:
+        return 0, []
+
+
+_WORD = rf"(?:{_ALT('digit-word')})\b"
+_RUN = rf"(?iu)\b{_WORD}(?:(?:[ \t]*[,\-–][ \t]*|[ \t]+){_WORD})++"
 #: Read in this order: a record or an account is also a number.
 CUES = (("cue-record", "RecordNumber"), ("cue-account", "AccountNumber"), ("cue-zip", "PostalCode"), ("cue-phone", "Phone"))
 
@@ -176,38 +267,54 @@ def birth_years(docs: DataFrame, candidates: DataFrame, reference: Column | str
 
 def relatives(docs: DataFrame) -> DataFrame:
     """(record_id, seq, name, given, surname, kind): capitalised names after a kinship word."""
-    w = W.partitionBy("record_id").orderBy("pos")
-    t = tokens(docs).withColumn("low", T.fold(F.col("word")))
-    for i in (1, 2):
-        t = t.withColumn(f"w{i}", F.lead("word", i).over(w))
-    t = t.withColumn("gap2", F.lead("gap", 1).over(w)).withColumn("prior", F.lag("low", 1).over(w)).withColumn("gap0", F.lag("gap", 1).over(w))
     folded = lambda name: sorted({unaccented(x) for x in LISTS[name]})
-    bad = [*folded("title"), *folded("kinship")]
+    kinship = folded("kinship")
+    bad = [*folded("title"), *kinship]
+    low = T.fold(F.col("text"))
+    texts = docs.select("record_id", F.coalesce("text", F.lit("")).alias("text")).where(F.regexp_like(low, F.lit(rf"\b(?:{'|'.join(kinship)})\b")))
+    toks = texts.select("record_id", T.tokens(F.col("text")).alias("t"))
+    at = F.filter(F.transform("t", lambda x, i: F.struct(i.alias("pos"), T.fold(x["word"]).alias("low"))), lambda x: x["low"].isin(*kinship))
+    rows = toks.select("record_id", "t", F.explode(at).alias("x")).select("record_id", "x.pos", "x.low", *(F.get("t", F.col("x.pos") + i).alias(f"t{i + 1}") for i in (-1, 0, 1, 2)))
     named = lambda c: F.regexp_like(c, F.lit(r"^\p{Lu}")) & F.regexp_like(c, F.lit(r"\p{Ll}")) & ~T.has_digit(c) & ~T.fold(c).isin(*bad)
-    many = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
-    reaches = F.regexp_like("gap", F.lit(r"^[\s,]*$")) & (many("gap", ",") <= 1) & (many("gap", "\n") <= 1)
+    gap, word = F.col("t1.gap"), F.col("t1.word")
+    many = lambda x: F.length(gap) - F.length(F.replace(gap, F.lit(x), F.lit("")))
+    reaches = F.regexp_like(gap, F.lit(r"^[\s,]*$")) & (many(",") <= 1) & (many("\n") <= 1)
     space = lambda c: F.regexp_like(c, F.lit(r"^[\s&&[^\n]]*$"))
-    kin = F.col("low").isin(*folded("kinship")) & (~F.regexp_like("word", F.lit(r"^\p{Lu}")) | (F.col("prior").isin(*folded("possessive")) & space("gap0")))
-    rows = t.where(kin & reaches & named(F.col("w1")))
-    surname = F.when(space("gap2") & named(F.col("w2")), F.col("w2"))
-    return rows.select("record_id", F.row_number().over(w).alias("seq"), F.concat_ws(" ", "w1", surname).alias("name"), F.col("w1").alias("given"), surname.alias("surname"), F.when(F.col("low").isin(*folded("caregiver")), "OtherName").otherwise("FamilyName").alias("kind"))
-
-
-def widened(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
-    """The roster with lineage values for every record and, with an empty subject, the relatives that it does not know."""
-    out = roster.select("record_id", "subject_id", "value", "kind")
-    values = [(v, k) for k, vs in (lineage.values if lineage else {}).items() for v in vs]
-    if values:
-        shared = docs.sparkSession.createDataFrame(values, "value string, kind string")  # a lineage's list, held on the driver
-        out = out.unionByName(docs.select("record_id").crossJoin(F.broadcast(shared)).select("record_id", F.lit("").alias("subject_id"), "value", "kind"))
-    people = relatives(docs)
-    single = out.where(F.size(T.words(F.col("value"))) == 1).select("record_id", T.phonetic_key(F.col("value")).alias("known")).where("known <> ''").distinct()
-    given = people.withColumn("key", T.phonetic_key(F.col("given")))
-    unknown = given.join(single, (given.record_id == single.record_id) & T.accepts(F.col("key"), F.col("known")), "left_anti")
-    parts = unknown.select("record_id", "kind", F.explode(F.array_distinct(F.array_compact(F.array("name", "given", "surname")))).alias("value"))
-    known = out.select("record_id", T.fold(F.col("value")).alias("f")).distinct()
-    fresh = parts.withColumn("f", T.fold(F.col("value"))).join(known, ["record_id", "f"], "left_anti").groupBy("record_id", "f").agg(F.min("value").alias("value"), F.min("kind").alias("kind"))
-    return out.unionByName(fresh.select("record_id", F.lit("").alias("subject_id"), "value", "kind"))
+    kin = ~F.regexp_like(word, F.lit(r"^\p{Lu}")) | F.coalesce(T.fold(F.col("t0.word")).isin(*folded("possessive")) & space(F.col("t0.gap")), F.lit(False))
+    rows = rows.where(kin & reaches & F.coalesce(named(F.col("t2.word")), F.lit(False)))
+    given, last = F.col("t2.word"), F.col("t3.word")
+    surname = F.when(space(F.col("t2.gap")) & named(last), last)
+    seq = F.row_number().over(W.partitionBy("record_id").orderBy("pos"))
+    return rows.select("record_id", seq.alias("seq"), F.concat_ws(" ", given, surname).alias("name"), given.alias("given"), surname.alias("surname"), F.when(F.col("low").isin(*folded("caregiver")), "OtherName").otherwise("FamilyName").alias("kind"))
+
+
+def unlisted(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
+    """(record_id, name, given, surname, listed, kind): relatives in order whom neither a rule, nor the roster, nor an earlier
+    one of them knows by their given name; `listed` tells whether the roster knows the surname."""
+    people = written(relatives(docs), "relatives")
+    parts = people.select("record_id", F.explode(F.array_compact(F.array("given", "surname"))).alias("text")).distinct()
+    parts = parts.select(F.struct("record_id", "text").alias("record_id"), "text")
+    goal = targets(roster).where("n = 1").select(F.col("record_id").alias("r"), "kind", "t_word", "t_key")
+    keyed = parts.withColumn("key", T.phonetic_key(F.col("text")))
+    near = keyed.join(goal, F.col("record_id.record_id") == F.col("r")).where(_word_score(F.col("text"), F.col("key"), F.col("t_word"), F.col("t_key"), F.col("kind").isin(*PERSONS)) > 0)
+    known = near.select("record_id").unionByName(patterns(parts, lineage).select("record_id")).distinct().select("record_id.*").withColumn("hit", F.lit(True))
+    rows = people.join(known.withColumnRenamed("text", "given"), ["record_id", "given"], "left_anti")
+    rows = rows.join(known.withColumnsRenamed({"text": "surname", "hit": "listed"}), ["record_id", "surname"], "left")
+    one = F.struct("seq", "name", "given", "surname", F.coalesce("listed", F.lit(False)).alias("listed"), "kind", T.phonetic_key(F.col("given")).alias("k"), T.phonetic_key(F.coalesce("surname", F.lit(""))).alias("s"))
+    lists = rows.groupBy("record_id").agg(F.sort_array(F.collect_list(one)).alias("xs"))
+
+    def heard(acc: Column, x: Column) -> Column:
+        return F.exists(acc, lambda y: (x["k"] != "") & (T.accepts(x["k"], y["k"]) | (~y["listed"] & (y["s"] != "") & T.accepts(x["k"], y["s"]))))
+
+    none = F.slice("xs", 1, 0)
+    fresh = F.aggregate("xs", none, lambda acc, x: F.when(heard(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return lists.select("record_id", F.explode(fresh).alias("x")).select("record_id", "x.name", "x.given", "x.surname", "x.listed", "x.kind")
+
+
+def widened(roster: DataFrame, people: DataFrame) -> DataFrame:
+    """The roster with, under an empty subject, the relatives that it does not know (`unlisted`)."""
+    names = F.array_distinct(F.array_compact(F.array("name", "given", F.when(~F.col("listed"), F.col("surname")))))
+    return roster.select("record_id", "subject_id", "value", "kind").unionByName(people.select("record_id", F.lit("").alias("subject_id"), F.explode(names).alias("value"), "kind"))
 
 
 def add_person(people: DataFrame) -> DataFrame:
@@ -217,4 +324,17 @@ def add_person(people: DataFrame) -> DataFrame:
 
 
 def uncovered_kinds(lineage: Lineage) -> list[str]:
-    return [k for k in KINDS if k not in {r.kind for r in lineage.rules}]
+    """Kinds that no loaded rule finds."""
+    return [k for k in KINDS if k not in {r.kind for r in lineage.compiled()[0]}]
+
+
+def explained(pairs: DataFrame) -> DataFrame:
+    """(record_id, a, b, kind, words, verdict) of pairs (record_id, a, b, kind): keys, distance and ratio word by word, and whether
+    the detector itself finds b, as a roster value of that kind, in a."""
+    words = F.transform(
+        F.arrays_zip(T.words(F.col("a")).alias("x"), T.words(F.col("b")).alias("y")),
+        lambda p: F.struct(p["x"].alias("a"), p["y"].alias("b"), T.phonetic_key(p["x"]).alias("key_a"), T.phonetic_key(p["y"]).alias("key_b"), F.levenshtein(T.phonetic_key(p["x"]), T.phonetic_key(p["y"])).alias("distance"), F.round(T.ratio(T.phonetic_key(p["x"]), T.phonetic_key(p["y"])), 3).alias("ratio")),
+    )
+    found = known_values(pairs.select("record_id", F.col("a").alias("text")), pairs.select("record_id", F.lit("s").alias("subject_id"), F.col("b").alias("value"), "kind"))
+    hit = found.select("record_id", F.lit(True).alias("hit")).distinct()
+    return pairs.join(hit, "record_id", "left").select("record_id", "a", "b", "kind", words.alias("words"), F.coalesce("hit", F.lit(False)).alias("verdict"))

@@ -22,18 +22,18 @@ def united(spans: DataFrame, *by: str) -> DataFrame:
     return rows.select("record_id.*", "start", "end")
 
 
-def overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """(on, common): characters that the united intervals of both share."""
+def overlap(a: DataFrame, b: DataFrame, on: list[str], *by: str) -> DataFrame:
+    """(on, by, common): characters that the united intervals of both share; `by` are further columns of a."""
     right = b.select(*on, F.col("start").alias("s2"), F.col("end").alias("e2"))
     rows = a.join(right, on).where("start < e2 AND s2 < end")
-    return rows.groupBy(*on).agg(F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("common"))
+    return rows.groupBy(*on, *by).agg(F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("common"))
 
 
 def scores(gold: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(record_id, sensitive, covered, removed, over, surviving, leaked, recall, precision) for every document of docs (record_id, text, redacted)."""
     g, f = united(gold), united(found)
     total = lambda x, name: x.groupBy("record_id").agg(F.sum(F.col("end") - F.col("start")).alias(name))
-    kept = gold.join(docs, "record_id").withColumn("v", T.tightened(F.substring("text", F.col("start") + 1, F.col("len")))).groupBy("record_id").agg(F.count_if(T.contains_words(F.col("redacted"), F.col("v"))).alias("surviving"))
+    kept = surviving(gold, docs).groupBy("record_id").agg(F.count_if("survives").alias("surviving"))
     rows = docs.select("record_id").join(total(g, "sensitive"), "record_id", "left").join(total(f, "removed"), "record_id", "left").join(overlap(g, f, ["record_id"]).withColumnRenamed("common", "covered"), "record_id", "left").join(kept, "record_id", "left").fillna(0)
     return rows.select("*", (F.col("removed") - F.col("covered")).alias("over"), ((F.col("covered") < F.col("sensitive")) | (F.col("surviving") > 0)).alias("leaked"), share(F.col("covered"), F.col("sensitive")).alias("recall"), share(F.col("covered"), F.col("removed")).alias("precision"))
 
@@ -42,18 +42,36 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(part / whole)
 
 
-def by_kind(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, sensitive, covered, recall) pooled over documents."""
+def surviving(gold: DataFrame, docs: DataFrame) -> DataFrame:
+    """gold with `survives`: whether a span's tightened text still stands, as whole words, in its record's redacted text."""
+    names = [c for c in gold.columns if c != "record_id"]
+    lists = gold.groupBy("record_id").agg(F.collect_list(F.struct(*names)).alias("xs"))
+    rows = lists.join(docs.select("record_id", T.chunks(F.col("text")).alias("ps"), T.spaced(F.col("redacted")).alias("line")), "record_id")
+    one = lambda x: T.bound(T.spaced(T.tightened(T.part(F.col("ps"), x["start"], x["len"]))), lambda v: F.contains("line", v) & (F.length(F.trim(v)) > 0))
+    return rows.select("record_id", F.explode(F.transform("xs", lambda x: F.struct(*(x[c].alias(c) for c in names), one(x).alias("survives")))).alias("x")).select("record_id", "x.*")
+
+
+def by_kind(gold: DataFrame, found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(kind, sensitive, covered, recall, surviving, over) pooled over documents: gold's kind for what is sensitive, covered and
+    surviving (null without docs: record_id, text, redacted), the finder's kind for what is removed beyond gold."""
     g, f = united(gold, "kind"), united(found)
-    hit = g.join(f.select("record_id", F.col("start").alias("s2"), F.col("end").alias("e2")), "record_id").where("start < e2 AND s2 < end").groupBy("kind").agg(F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("covered"))
-    rows = g.groupBy("kind").agg(F.sum(F.col("end") - F.col("start")).alias("sensitive")).join(hit, "kind", "left").fillna(0)
-    return rows.withColumn("recall", share(F.col("covered"), F.col("sensitive")))
+    size = F.sum(F.col("end") - F.col("start"))
+    hit = overlap(g, f, ["record_id"], "kind").groupBy("kind").agg(F.sum("common").alias("covered"))
+    rows = g.groupBy("kind").agg(size.alias("sensitive")).join(hit, "kind", "left").fillna(0, ["covered"])
+    fk, ga = united(found, "kind"), united(gold)
+    right = overlap(fk, ga, ["record_id"], "kind").groupBy("kind").agg(F.sum("common").alias("right"))
+    over = fk.groupBy("kind").agg(size.alias("removed")).join(right, "kind", "left").select("kind", (F.col("removed") - F.coalesce("right", F.lit(0))).alias("over"))
+    rows = rows.join(over, "kind", "full_outer").fillna(0, ["sensitive", "covered", "over"]).withColumn("recall", share(F.col("covered"), F.col("sensitive")))
+    if docs is None:
+        return rows.withColumn("surviving", F.lit(None).cast("long"))
+    left = surviving(gold, docs).groupBy("kind").agg(F.count_if("survives").alias("surviving"))
+    return rows.join(left, "kind", "left").fillna(0, ["surviving"])
 
 
 def by_detector(gold: DataFrame, found: DataFrame) -> DataFrame:
     """(detector_id, removed, covered)."""
     f, g = united(found, "detector_id"), united(gold)
-    hit = f.join(g.select("record_id", F.col("start").alias("s2"), F.col("end").alias("e2")), "record_id").where("start < e2 AND s2 < end").groupBy("detector_id").agg(F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("covered"))
+    hit = overlap(f, g, ["record_id"], "detector_id").groupBy("detector_id").agg(F.sum("common").alias("covered"))
     return f.groupBy("detector_id").agg(F.sum(F.col("end") - F.col("start")).alias("removed")).join(hit, "detector_id", "left").fillna(0)
 
 
@@ -72,22 +90,44 @@ def leak_rate(scored: DataFrame, *by: str) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: int = 20260916) -> DataFrame:
     """Differences of pooled recall and leak rate, a less b, with percentile intervals over resampled documents.
 
-    Each document weighs a Poisson(1) count in a resample, so that no index table is needed and partial sums combine."""
+    Each document weighs a Poisson(1) count in a resample, so that no index table is needed and sums combine: a batch of documents
+    becomes a row of sums for each resample, and rows of batches are added up. Resample -1 is the documents themselves."""
+    import numpy as np
+    import pandas as pd
+
     left, right = a.select("record_id", *(F.col(c).alias(f"a_{c}") for c in ("covered", "sensitive", "leaked"))), b.select("record_id", *(F.col(c).alias(f"b_{c}") for c in ("covered", "sensitive", "leaked")))
-    both = left.join(right, "record_id")
-    u = (F.pmod(F.xxhash64("record_id", "sample", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).cast("double")
-    below = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
-    drawn_ = F.lit(len(below))
-    for k in reversed(range(len(below))):
-        drawn_ = F.when(u < below[k], k).otherwise(drawn_)
-    weight = F.when(F.col("sample") < 0, 1).otherwise(drawn_)
-    rows = both.withColumn("sample", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1)))).withColumn("w", weight)
-    sums = rows.groupBy("sample").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(c).cast("double")).alias(c) for c in both.columns[1:]))
+    names = ["a_covered", "a_sensitive", "a_leaked", "b_covered", "b_sensitive", "b_leaked"]
+    both = left.join(right, "record_id").select(F.xxhash64("record_id", F.lit(seed)).alias("h"), *(F.col(c).cast("double") for c in names))
+    below = np.array([sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18)])
+
+    def run(frames):
+        sums = np.zeros((resamples + 1, len(names) + 1))
+        for frame in frames:
+            for at in range(0, len(frame), 2000):
+                rows = frame.iloc[at : at + 2000]
+                x = np.column_stack([np.ones(len(rows)), rows[names].to_numpy()])
+                sums[0] += x.sum(axis=0)
+                u = uniform(rows["h"].to_numpy(), resamples)
+                sums[1:] += np.searchsorted(below, u, side="right").T.astype(np.float64) @ x
+        yield pd.DataFrame(np.column_stack([np.arange(-1, resamples), sums]), columns=["sample", "n", *names])
+
+    sums = both.mapInPandas(run, "sample double, n double, " + ", ".join(f"{c} double" for c in names)).groupBy("sample").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
     sums = sums.where("n > 0 AND a_sensitive > 0 AND b_sensitive > 0").select("sample", (F.col("a_covered") / F.col("a_sensitive") - F.col("b_covered") / F.col("b_sensitive")).alias("recall"), ((F.col("a_leaked") - F.col("b_leaked")) / F.col("n")).alias("leak"))
     drawn = lambda c: F.when(F.col("sample") >= 0, F.col(c))
     return sums.agg(*(x for c in ("recall", "leak") for x in (F.max(F.when(F.col("sample") < 0, F.col(c))).alias(f"{c}_difference"), F.percentile(drawn(c), 0.025).alias(f"{c}_lower"), F.percentile(drawn(c), 0.975).alias(f"{c}_upper"))))
 
 
+def uniform(hashes, resamples: int):
+    """Numbers in [0, 1), documents by resamples, from the documents' hashes: the same wherever a document is read."""
+    import numpy as np
+
+    u64 = np.uint64
+    x = hashes.astype(np.int64).view(u64)[:, None] + np.arange(1, resamples + 1, dtype=u64)[None, :] * u64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> u64(30))) * u64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u64(27))) * u64(0x94D049BB133111EB)
+    return ((x ^ (x >> u64(31))) >> u64(11)).astype(np.float64) * 2.0**-53
+
+
 def kappa(n: Column, a: Column, b: Column, both: Column) -> Column:
     """Cohen's kappa over characters from the text's length and the marked characters of each and of both."""
     seen = (both + (n - a - b + both)) / n
@@ -95,15 +135,48 @@ def kappa(n: Column, a: Column, b: Column, both: Column) -> Column:
     return F.when(n == 0, F.lit(None)).when(expected >= 1, F.when(seen >= 1, 1.0).otherwise(0.0)).otherwise((seen - expected) / (1 - expected))
 
 
-def linkage(docs: DataFrame, names: DataFrame, kinship: list[str], brackets: list[str]) -> DataFrame:
-    """(name, documents, signature, class_size): what texts with an invented name (docs: record_id, text; names: name) still tell of it."""
+def agreement(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """(record_id, kind, kappa) of the first two annotators of a record, by name, for each kind that either marks; null where there
+    is no second one or no text."""
+    who = gold.groupBy("record_id").agg(F.slice(F.array_sort(F.collect_set("annotator")), 1, 2).alias("who"))
+    marks = united(gold.join(who, "record_id").where(F.array_contains("who", F.col("annotator"))).select("*", (F.array_position("who", F.col("annotator")) - 1).alias("side")), "kind", "side")
+    sides = marks.groupBy("record_id", "kind").agg(*(F.coalesce(F.sum(F.when(F.col("side") == i, F.col("end") - F.col("start"))), F.lit(0)).alias(f"n{i}") for i in (0, 1)))
+    both = overlap(marks.where("side = 0").drop("side"), marks.where("side = 1").drop("side"), ["record_id", "kind"])
+    rows = sides.join(both, ["record_id", "kind"], "left").join(who, "record_id").join(docs.select("record_id", F.length("text").alias("n")), "record_id")
+    value = kappa(F.col("n"), F.col("n0"), F.col("n1"), F.coalesce("common", F.lit(0)))
+    return rows.select("record_id", "kind", F.when(F.size("who") == 2, value).alias("kappa"))
+
+
+def forms(names: DataFrame, heads: list[str] | None = None) -> DataFrame:
+    """(name, form): the folded words of each invented name and, where no other name has the same head, of its head."""
+    from .vault import head
+
+    folded = lambda c: F.array_join(F.transform(T.words(c), T.fold), " ")
+    rows = names.select("name").distinct().withColumn("head", head(F.col("name"), heads))
+    own = rows.withColumn("f", T.fold(F.col("head")))
+    alone = own.join(own.groupBy("f").count().where("count = 1").select("f"), "f", "left_semi").where(F.lower("head") != F.lower("name"))
+    return rows.select("name", folded(F.col("name")).alias("form")).unionByName(alone.select("name", folded(F.col("head")).alias("form"))).where("form <> ''").distinct()
+
+
+def linkage(docs: DataFrame, names: DataFrame, kinship: list[str], brackets: list[str], heads: list[str] | None = None) -> DataFrame:
+    """(name, documents, signature, class_size): what texts with an invented name (docs: record_id, text; names: name, retired ones
+    too) still tell of it. A text meets the names it may hold once, as a list; only its facts go on."""
     words = docs.select("record_id", F.transform(T.words(F.col("text")), T.fold).alias("ws"), T.fold(F.col("text")).alias("f"))
-    facts = words.select("record_id", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("line"), F.array_distinct(F.filter("ws", lambda w: F.regexp_like(w, F.lit("^(?:19|20)[0-9]{2}$")))).alias("years"), F.array_distinct(F.filter("ws", lambda w: w.isin(*kinship))).alias("kin"), F.exists(F.array(*map(F.lit, brackets)), lambda b: F.contains(F.col("f"), b)).alias("age"))
-    wanted = names.select("name", F.concat(F.lit(" "), T.fold(F.col("name")), F.lit(" ")).alias("n"), F.element_at(F.transform(T.words(F.col("name")), T.fold), 1).alias("head"))
-    hits = words.select("record_id", F.explode(F.array_distinct("ws")).alias("head")).join(wanted, "head").join(facts, "record_id").where(F.contains(F.col("line"), F.col("n")))
+    line = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("line")
+    years, kin = F.array_distinct(F.filter("ws", lambda w: F.regexp_like(w, F.lit("^(?:19|20)[0-9]{2}$")))), F.array_distinct(F.filter("ws", lambda w: w.isin(*kinship)))
+    facts = words.select("record_id", line, years.alias("years"), kin.alias("kin"), F.exists(F.array(*map(F.lit, brackets)), lambda b: F.contains(F.col("f"), b)).alias("age"))
+    wanted = forms(names, heads).withColumn("first", F.substring_index("form", " ", 1))
+    maybe = words.select("record_id", F.explode(F.array_distinct("ws")).alias("first")).join(wanted, "first").groupBy("record_id").agg(F.collect_list(F.struct("name", "form")).alias("xs"))
+    held = F.array_distinct(F.transform(F.filter("xs", lambda x: F.contains("line", F.concat(F.lit(" "), x["form"], F.lit(" ")))), lambda x: x["name"]))
+    hits = maybe.join(facts, "record_id").select("record_id", F.explode(held).alias("name"), "years", "kin", "age")
     rows = hits.groupBy("name").agg(F.countDistinct("record_id").alias("documents"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("ys"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kin")))).alias("ks"), F.max("age").alias("age"))
     rows = rows.withColumn("signature", F.concat_ws("|", F.array_join("ys", ","), F.col("age").cast("string"), F.array_join("ks", ",")))
-    return rows.select("name", "documents", "signature", F.count("*").over(W.partitionBy("signature")).alias("class_size"))
+    return rows.join(rows.groupBy("signature").agg(F.count("*").alias("class_size")), "signature").select("name", "documents", "signature", "class_size")
+
+
+def linkage_summary(exposed: DataFrame) -> DataFrame:
+    """(subjects, smallest_class, unique_subjects, most_documents, median_documents) of `linkage`'s rows."""
+    return exposed.agg(F.count("*").alias("subjects"), F.min("class_size").alias("smallest_class"), F.count_if(F.col("class_size") == 1).alias("unique_subjects"), F.coalesce(F.max("documents"), F.lit(0)).alias("most_documents"), F.coalesce(F.median("documents"), F.lit(0.0)).alias("median_documents"))
 
 
 def continuity(applied: DataFrame, vault: DataFrame) -> DataFrame:

@@ -1,13 +1,12 @@
 """Queries over the driver's tables, one for each operator, and the DuckDB SQL that must give the same rows.
 
-Texts come from `documents`. A derived roster holds the first title-case words of each document, some damaged the way a
+Texts come from `documents`. A derived roster holds the title-case words of each document, some damaged the way a
 recogniser would. Spans at scale come from `lineitem`: a record is an order, and each of its lines a span.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +16,10 @@ from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import redact as R
 from ..operators import vault as V
-from ..rules import DIGITS, KINDS, LABELS, LISTS, RULES, SAFE_HARBOR, Lineage, Policy
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from ..rules import DIGITS, LABELS, RULES, SAFE_HARBOR, Lineage, Policy
+from .registry import ORACLES, QUERIES, Query, query
 
+__all__ = ["ORACLES", "QUERIES", "Query"]
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("record_id"), "text", "lang", "source")
@@ -98,7 +85,7 @@ def redact_labels(spark: SparkSession, sf: str) -> DataFrame:
 def redact_full(spark: SparkSession, sf: str) -> DataFrame:
     """All rules and every title-case word as a roster value, a name for each subject, read-back and manifest."""
     docs = _docs(spark, sf).withColumn("recorded_on", F.lit("2026-01-01").cast("date"))
-    roster = _roster(docs, None)
+    roster = _roster(docs)
     subjects = roster.select("subject_id").distinct()
     lineage = Lineage(pools=_pools(subjects.count()))
     out = R.redact(docs, roster, V.minted(subjects, V.empty(spark), lineage), lineage=lineage)
@@ -164,28 +151,27 @@ def explain_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- roster ----
-def _roster(docs: DataFrame, first: int | None = 3) -> DataFrame:
-    """The first title-case words of each text, as the SQL takes them, or all of them."""
-    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))
-    words = docs.select("record_id", F.explode(F.array_distinct(F.slice(found, 1, first) if first else found)).alias("w"))
+def _roster(docs: DataFrame) -> DataFrame:
+    """Every title-case word of a text, some of them damaged, is a roster value."""
+    words = docs.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)))).alias("w"))
     damaged = F.when(F.contains("w", F.lit("s")), F.replace("w", F.lit("s"), F.lit("z"))).when(F.length("w") >= 7, F.substring(F.col("w"), F.lit(1), F.length("w") - 1)).otherwise(F.col("w"))
     return words.select("record_id", F.concat_ws("-", F.col("record_id").cast("string"), "w").alias("subject_id"), damaged.alias("value"), F.lit("PatientName").alias("kind"))
 
 
 _ROSTER_SQL = """SELECT DISTINCT doc_id, doc_id || '-' || w AS subject_id, CASE WHEN contains(w, 's') THEN replace(w, 's', 'z') WHEN length(w) >= 7 THEN substr(w, 1, length(w) - 1) ELSE w END AS value
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')[1:3]) AS w FROM documents)"""
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS w FROM documents)"""
 
 
 @query(f"SELECT r.subject_id, count(*) AS n FROM ({_ROSTER_SQL}) r JOIN ({_WORDS_SQL}) t ON t.doc_id = r.doc_id AND {_FOLD_SQL.format('t.word')} = {_FOLD_SQL.format('r.value')} GROUP BY r.subject_id")
 def deny_list_matches(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return D.deny_list(docs, _roster(docs), (1,)).groupBy("subject_id").agg(F.count("*").alias("n"))
+    return D.deny_list(D.placed(docs), _roster(docs)).groupBy("subject_id").agg(F.count("*").alias("n"))
 
 
 _KNOWN_SQL = f"""
 WITH roster AS ({_ROSTER_SQL}), words AS ({_WORDS_SQL}),
 keys AS (SELECT w, {_key_sql('w')} AS key FROM (SELECT word AS w FROM words UNION SELECT value FROM roster)),
-pairs AS (SELECT r.subject_id, r.value, t.word, kr.key AS a, kt.key AS b FROM roster r JOIN words t ON t.doc_id = r.doc_id JOIN keys kr ON kr.w = r.value JOIN keys kt ON kt.w = t.word
+pairs AS (SELECT r.subject_id, r.value, t.word, t.times, kr.key AS a, kt.key AS b FROM roster r JOIN (SELECT doc_id, word, count(*) AS times FROM words GROUP BY ALL) t ON t.doc_id = r.doc_id JOIN keys kr ON kr.w = r.value JOIN keys kt ON kt.w = t.word
   WHERE abs(length(kr.key) - length(kt.key)) <= 2),
 scored AS (SELECT *, CASE WHEN least(length(a), length(b)) < 4 THEN 0 WHEN least(length(a), length(b)) < 8 THEN 1 ELSE 2 END AS g, levenshtein(translate(a, 'ßœæøđłþð', '!#$%&*+~'), translate(b, 'ßœæøđłþð', '!#$%&*+~')) AS d FROM pairs WHERE b <> '' AND a <> ''),
 hits AS (SELECT *, CASE WHEN d > 0 THEN 'Fuzzy' WHEN lower(word) = lower(value) THEN 'Exact' ELSE 'Phonetic' END AS match FROM scored
@@ -193,16 +179,16 @@ hits AS (SELECT *, CASE WHEN d > 0 THEN 'Fuzzy' WHEN lower(word) = lower(value)
 """
 
 
-@query(_KNOWN_SQL + "SELECT subject_id, match, count(*) AS n FROM hits GROUP BY subject_id, match")
+@query(_KNOWN_SQL + "SELECT subject_id, match, sum(times)::BIGINT AS n FROM hits GROUP BY subject_id, match")
 def known_value_matches(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return D.known_values(docs, _roster(docs), (1,)).groupBy("subject_id", "match").agg(F.count("*").alias("n"))
+    return D.known_values(D.placed(docs), _roster(docs)).groupBy("subject_id", "match").agg(F.count("*").alias("n"))
 
 
-@query(_KNOWN_SQL + "SELECT match, count(*) AS n, count(DISTINCT subject_id) AS subjects FROM hits GROUP BY match")
+@query(_KNOWN_SQL + "SELECT match, sum(times)::BIGINT AS n, count(DISTINCT subject_id) AS subjects FROM hits GROUP BY match")
 def match_class_histogram(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return D.known_values(docs, _roster(docs), (1,)).groupBy("match").agg(F.count("*").alias("n"), F.countDistinct("subject_id").alias("subjects"))
+    return D.known_values(D.placed(docs), _roster(docs)).groupBy("match").agg(F.count("*").alias("n"), F.countDistinct("subject_id").alias("subjects"))
 
 
 # ---- spans from lineitem ----
@@ -312,7 +298,7 @@ def leak_rate_wilson(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT g.kind, g.sensitive::BIGINT AS sensitive, coalesce(c.covered, 0)::BIGINT AS covered, round(coalesce(c.covered, 0) / g.sensitive, 6) AS recall FROM (SELECT kind, sum("end" - start) AS sensitive FROM ({_union_sql(_GOLD_SQL, ", kind")}) GROUP BY kind) g
 LEFT JOIN (SELECT g.kind, sum(least(g."end", f."end") - greatest(g.start, f.start)) AS covered FROM ({_union_sql(_GOLD_SQL, ", kind")}) g JOIN ({_union_sql(_FOUND_SQL)}) f ON g.record_id = f.record_id AND g.start < f."end" AND f.start < g."end" GROUP BY 1) c ON c.kind = g.kind""")
 def scores_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return E.by_kind(*_gold_found(spark, sf)).withColumn("recall", F.round("recall", 6))
+    return E.by_kind(*_gold_found(spark, sf)).where("sensitive > 0").select("kind", "sensitive", "covered", F.round("recall", 6).alias("recall"))
 
 
 @query(f"""SELECT f.detector_id, f.removed::BIGINT AS removed, coalesce(c.covered, 0)::BIGINT AS covered FROM (SELECT detector_id, sum("end" - start) AS removed FROM ({_union_sql(_FOUND_SQL, ", detector_id")}) GROUP BY 1) f
@@ -362,10 +348,10 @@ def year_only(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES_SQL = "SELECT (t * 10 + h)::INTEGER AS place, g[h + 1] || ' ' || f[(h + t) % 10 + 1] AS surrogate FROM (SELECT {} AS g, {} AS f), range(10) a(h), range(10) b(t)".format(*(str(Lineage().pools[p]) for p in ("given", "family")))
 
 
-@query(f"""SELECT s.subject_id, 'PAL-' || substr(sha256('code:' || s.subject_id), 1, 32) AS pseudonym, n.surrogate FROM (SELECT n_name AS subject_id, row_number() OVER (ORDER BY sha256(n_name)) AS r FROM nation) s JOIN (SELECT surrogate, row_number() OVER (ORDER BY place) AS r FROM ({_NAMES_SQL})) n ON n.r = s.r""")
+@query(f"""SELECT s.subject_id, n.surrogate, true AS coded FROM (SELECT n_name AS subject_id, row_number() OVER (ORDER BY sha256(n_name)) AS r FROM nation) s JOIN (SELECT surrogate, row_number() OVER (ORDER BY place) AS r FROM ({_NAMES_SQL})) n ON n.r = s.r""")
 def mint_deterministic(spark: SparkSession, sf: str) -> DataFrame:
     subjects = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("subject_id"))
-    return V.minted(subjects, V.empty(spark), Lineage()).select("subject_id", "pseudonym", "surrogate")
+    return V.minted(subjects, V.empty(spark), Lineage()).select("subject_id", "surrogate", F.regexp_like("pseudonym", F.lit("^PAL-[0-9a-f]{32}$")).alias("coded"))
 
 
 @query("SELECT n_name AS subject_id, 'p' || n_nationkey AS pseudonym, 'Old ' || n_name AS name FROM nation WHERE n_nationkey % 3 = 0")
@@ -396,36 +382,12 @@ def residue_counts(spark: SparkSession, sf: str) -> DataFrame:
     return again.groupBy(F.col("record_id").alias("doc_id")).agg(F.count("*").alias("residual"))
 
 
-_VALUES = lambda xs: ", ".join("('" + "', '".join(x) + "')" for x in xs)
-
-
 @query("SELECT * FROM (VALUES ('State: Label instead of Keep'), ('Date: Label instead of YearOnly'), ('minConfidence: 0.8 instead of 0.7')) t(departure)")
 def policy_departures(spark: SparkSession, sf: str) -> DataFrame:
     own = Policy("strict", "1", 0.8, SAFE_HARBOR | {"State": "Label", "Date": "Label"})
     return spark.createDataFrame([(d,) for d in own.departures()], "departure string")
 
 
-@query(f"SELECT kind FROM (VALUES {_VALUES([(k,) for k in KINDS])}) t(kind) EXCEPT SELECT kind FROM (VALUES {_VALUES([(r.kind,) for r in RULES])}) u(kind)")
-def not_covered_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in KINDS], "kind string").join(list_pattern_rules(spark, sf).select("kind"), "kind", "left_anti")
-
-
-@query(f"SELECT id, kind, confidence::DOUBLE AS confidence FROM (VALUES {', '.join(f"('{r.id}', '{r.kind}', {r.confidence})" for r in RULES)}) t(id, kind, confidence)")
-def list_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(r.id, r.kind, r.confidence) for r in Lineage().rules], "id string, kind string, confidence double")
-
-
-@query(f"SELECT name, n::INTEGER AS n FROM (VALUES {', '.join(f"('{k}', {len(v)})" for k, v in LISTS.items())}) t(name, n)")
-def list_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k, len(v)) for k, v in Lineage().lists.items()], "name string, n int")
-
-
-@query("SELECT substr(lpad(((c_custkey * 7919) % 100000)::VARCHAR, 5, '0'), 1, 3) AS prefix, sum(c_nationkey)::BIGINT AS population FROM customer GROUP BY 1")
-def census_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
-    zcta = F.lpad(((F.col("c_custkey") * 7919) % 100000).cast("string"), 5, "0")
-    return spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.substring(zcta, 1, 3).alias("prefix")).agg(F.sum("c_nationkey").cast("long").alias("population"))
-
-
 _KIN, _AGE = ["the", "and", "des", "que"], ["ion", "ung"]
 
 
@@ -450,41 +412,7 @@ def continuity_audit(spark: SparkSession, sf: str) -> DataFrame:
     return E.continuity(named, vault)
 
 
-# ---- rules that scan a sentence, on literal sentences ----
-_SAID = [
-    (1, "my number is five five five one two three four please", "Phone", 13),
-    (2, "count with me one two three four five six", None, 0),
-    (3, "the zip is nine zero two one zero", "PostalCode", 11),
-    (4, "chart number four four one nine eight two", "RecordNumber", 13),
-]
-
-
-@query("SELECT record_id::BIGINT AS record_id, kind, start::INTEGER AS start FROM (VALUES " + ", ".join(f"({i}, '{k}', {s})" for i, _, k, s in _SAID if k) + ") t(record_id, kind, start)")
-def spoken_digits(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.createDataFrame([(i, t) for i, t, _, _ in _SAID], "record_id long, text string")
-    return D.spoken_digits(docs).select("record_id", "kind", "start")
-
-
-@query("SELECT record_id::BIGINT AS record_id, kind, start::INTEGER AS start FROM (VALUES (1, 'AgeOver89', 8), (2, 'AgeOver89', 22)) t(record_id, kind, start)")
-def birth_year(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, "born on 3/4/1930 in town"), (2, "she says she was born 1931 far away"), (3, "born in 1990")], "record_id long, text string").withColumn("recorded_on", F.lit("2026-06-01").cast("date"))
-    dates = D.patterns(docs, only=("date-numeric",))
-    return D.birth_years(docs, dates).select("record_id", "kind", "start")
-
-
-@query("SELECT record_id::BIGINT AS record_id, name, kind FROM (VALUES (1, 'Elena Ruiz', 'FamilyName'), (2, 'Tomás', 'OtherName')) t(record_id, name, kind)")
-def relatives(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, "my sister Elena Ruiz came"), (2, "her caregiver, Tomás, said so"), (3, "the mother went home")], "record_id long, text string")
-    return D.relatives(docs).select("record_id", "name", "kind")
-
-
-@query("SELECT record_id::BIGINT AS record_id, digits FROM (VALUES (1, '5551234'), (3, '90210')) t(record_id, digits)")
-def to_digits(spark: SparkSession, sf: str) -> DataFrame:
-    said = spark.createDataFrame([(1, "five five five one two three four"), (2, "five apples"), (3, "nine zero two one oh")], "record_id long, text string")
-    return said.select("record_id", T.to_digits(F.col("text"), DIGITS).alias("digits")).where("digits IS NOT NULL")
-
-
-# ---- the same rules over all documents ----
+# ---- rules that scan a sentence, over all documents ----
 @query()
 def spoken_digits_documents(spark: SparkSession, sf: str) -> DataFrame:
     return D.spoken_digits(_docs(spark, sf)).select(F.col("record_id").alias("doc_id"), "kind", "start", "len")
@@ -506,3 +434,6 @@ def to_digits_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The digits of every run of digit words."""
     runs = _docs(spark, sf).select(F.col("record_id").alias("doc_id"), F.explode(T.spans(F.col("text"), D._RUN)).alias("s"))
     return runs.select("doc_id", "s.start", T.to_digits(F.col("s.value"), DIGITS).alias("digits")).where("digits IS NOT NULL")
+
+
+from . import sentences  # noqa: E402, F401  registers its queries

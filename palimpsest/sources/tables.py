@@ -2,18 +2,78 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Folders of the tables that the open scratch blocks have written, innermost last.
+_OPEN: list[list[str]] = []
+_ENDS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of its own that goes when the program ends;
+    a cluster is refused, since a folder of one machine is not there for the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _at_end(spark: SparkSession, folder: str) -> None:
+    def end() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            removed(spark, folder)
+
+    if folder not in _ENDS:
+        _ENDS.add(folder)
+        atexit.register(end)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet and reads it again: later steps reuse it instead of computing it anew."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/palimpsest/{tag}-{uuid.uuid4().hex}"
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet and reads it again: later steps reuse it instead of computing it anew.
+
+    It is deleted when the innermost scratch block ends (with `keep`, the next one out), or with the program."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    _at_end(spark, folder)
     df.write.parquet(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose written tables are deleted when it ends; what it returns must not read them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "r") -> DataFrame:
+    """df with a rank from 1 by `order`, without one task for all rows: ranges of the order, a rank inside each, and before it the
+    rows of the ranges that come earlier, of which there is one number a range."""
+    laid = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = laid.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row a range
+    inside = laid.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    return inside.join(before, "__p").withColumn(name, F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")

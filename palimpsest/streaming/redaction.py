@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.redact import redact
 from ..rules import Lineage, Policy
+from ..sources.tables import scratch
 
 
 def redact_stream(docs: DataFrame, path: str, checkpoint: str, roster: Callable[[], DataFrame] | None = None, vault: Callable[[], DataFrame] | None = None, policy: Policy | None = None, lineage: Lineage | None = None) -> StreamingQuery:
@@ -16,9 +17,10 @@ def redact_stream(docs: DataFrame, path: str, checkpoint: str, roster: Callable[
     again after a failure replaces its own."""
 
     def one(batch: DataFrame, number: int) -> None:
-        out = redact(batch, roster and roster(), vault and vault(), policy, lineage)
-        kept = out.documents.select("record_id", "redacted").join(out.manifest.where("NOT withheld").select("record_id"), "record_id")
-        kept.write.parquet(f"{path}/texts/batch={number}", mode="overwrite")
-        out.manifest.write.json(f"{path}/manifest/batch={number}", mode="overwrite")
+        with scratch(batch.sparkSession):
+            out = redact(batch, roster and roster(), vault and vault(), policy, lineage)
+            kept = out.documents.select("record_id", "redacted").join(out.manifest.where("NOT withheld").select("record_id"), "record_id")
+            kept.write.parquet(f"{path}/texts/batch={number}", mode="overwrite")
+            out.manifest.write.json(f"{path}/manifest/batch={number}", mode="overwrite")
 
     return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -64,8 +64,11 @@ def test_rosters_and_texts(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"value": "Ann", "kind": "nope", "subjectId": "s"}]')
     with pytest.raises(ValueError, match="1 roster"):
         files.roster_json(spark, str(tmp_path / "bad.json"))
-    lines = spark.createDataFrame([(" Ann | phone | s ",), ("bad|line",)], "line string")
+    lines = spark.createDataFrame([(" Ann | phone | s ",), ("  ",)], "line string")
     assert [tuple(r) for r in files.roster_inline(lines).collect()] == [("s", "Ann", "Phone")]
+    for line in ("bad|line", "Ann|nope|s"):
+        with pytest.raises(ValueError, match="1 roster"):
+            files.roster_inline(spark.createDataFrame([(line,)], "line string"))
     (tmp_path / "t.txt").write_text("﻿hello\nthere")
     assert files.transcripts(spark, str(tmp_path / "t.txt")).first().asDict() == {"record_id": "t.txt", "text": "hello\nthere"}
     (tmp_path / "z.json").write_text('{"populations": {"850": 5, "001": 1}}')
@@ -87,9 +90,23 @@ def test_vault_files(spark, tmp_path):
         files.save_vault(one, path)
     files.save_vault(V.remint(two, spark.createDataFrame([("a", "New Name")], "subject_id string, surrogate string")), path)
     assert files.load_vault(spark, path).where("subject_id = 'a'").first().retired == [names["a"]]
-    for clash in (("a", "Other"), ("z", names["b"])):
+    schema = "subject_id string, surrogate string"
+    for clash in ([("a", "Other")], [("z", names["b"])], [("y", "Same"), ("z", "Same")], [("z", "One"), ("z", "Two")]):
         with pytest.raises(ValueError):
-            V.assign(two, spark.createDataFrame([clash], "subject_id string, surrogate string"))
+            V.assign(two, spark.createDataFrame(clash, schema))
+    again = V.remint(two, spark.createDataFrame([("a", "New Name")], schema))
+    for clash in ([("b", names["a"])], [("b", names["c"])], [("b", "New Name")]):
+        with pytest.raises(ValueError, match="taken"):
+            V.remint(again, spark.createDataFrame(clash, schema))
+    more = V.minted(spark.createDataFrame([(f"n{i}",) for i in range(60)], "subject_id string"), again, Lineage())
+    given = [r.surrogate for r in more.collect()]
+    assert len(set(given)) == 63 and names["a"] not in given
+    codes = [r.pseudonym for r in more.collect()]
+    assert len(set(codes)) == 63 and codes == [r.pseudonym for r in more.collect()]
+    with pytest.raises(ValueError, match="exhausted"):
+        V.minted(spark.createDataFrame([(f"m{i}",) for i in range(60)], "subject_id string"), more, Lineage())
+    renamed = V.reminted(spark.createDataFrame([("b",)], "subject_id string"), again, Lineage()).where("subject_id = 'b'").first()
+    assert renamed.retired == [names["b"]] and renamed.surrogate not in given[:3]
 
 
 def test_results_ids_and_caveats(spark, tmp_path):
@@ -124,6 +141,53 @@ def test_alignment(spark):
     assert A.survival("Ann Lee 12", "Ann x 12", [(0, 7), (8, 2), (4, 3)]) == ["partial", "whole", "gone"]
 
 
+def test_long_runs(spark):
+    """No rule, word or run of numbers exhausts the stack, and a text beyond the limit costs no other row."""
+    texts = ["one two " * 20_000, "a" + "-b" * 20_000, "mail x" + " dot y" * 2_000 + " at c" + " dot d" * 20_000 + " dot com", "Calle " + "de " * 20_000 + "Luz", "@" * 20_000, "1." * 20_000, " " * 20_000, "Ab " * 20_000, "x" * 1_000_001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "record_id long, text string").repartition(8)
+    out = R.redact(docs.where("record_id <> 7"), find_relatives=False)
+    state = {r.record_id: (r.refused, r.withheld) for r in out.manifest.collect()}
+    assert state[8] == ("more than 1000000 characters", True) and sum(w for _, w in state.values()) == 1
+    got = {r.record_id: r.redacted for r in out.documents.where("record_id IN (0, 2, 8)").collect()}
+    assert got == {0: "[REMOVED] ", 2: "mail [EMAIL]", 8: None}
+    assert D.relatives(docs.where("record_id = 7")).count() == 0
+
+
+def test_too_many_candidates(spark):
+    docs = spark.createDataFrame([(1, "a@b.com " * 30), (2, "a@b.com")], "record_id long, text string")
+    out = R.redact(docs, find_relatives=False, most_candidates=10)
+    assert {r.record_id: (r.refused, r.withheld) for r in out.manifest.collect()} == {1: ("more than 10 candidates", True), 2: (None, False)}
+
+
+def test_places_of_many_hits(spark):
+    import re
+
+    from palimpsest.functions import text as T
+
+    for text in ("", "x", "a1b22 " * 700, "7" + "é😀9" * 900):
+        df = spark.createDataFrame([(text,)], "text string")
+        row = df.select(T.spans(F.col("text"), "[0-9]+").alias("s"), T.tokens(F.col("text")).alias("t"), T.part(T.chunks(F.col("text")), F.lit(1020), F.lit(1100)).alias("p")).first()
+        assert [(s.start, s.value) for s in row.s] == [(m.start(), m.group()) for m in re.finditer("[0-9]+", text)]
+        assert all(text[t.start : t.start + t.len] == t.word and text[t.start + t.len :].startswith(t.gap) for t in row.t)
+        assert row.p == text[1020:2120]
+
+
+def test_bootstrap_against_brute_force(spark):
+    rows = [(i, i % 5, 5, bool(i % 5 < 5 and i % 3)) for i in range(40)]
+    a = spark.createDataFrame(rows, "record_id long, covered long, sensitive long, leaked boolean")
+    b = spark.createDataFrame([(i, 4, 5, bool(i % 2)) for i, *_ in rows], a.schema)
+    got = E.paired(a, b, resamples=200).first()
+    hashes = {r.record_id: r.h for r in a.select("record_id", F.xxhash64("record_id", F.lit(20260916)).alias("h")).collect()}
+    import numpy as np
+
+    u = E.uniform(np.array([hashes[i] for i, *_ in rows]), 200)
+    below = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(18)])
+    w = (u[:, :, None] >= below).sum(axis=2)
+    diffs = [sum(w[i, s] * (c / 1) for i, (_, c, _, _) in enumerate(rows)) / (5 * w[:, s].sum()) - 0.8 for s in range(200)]
+    assert abs(got.recall_difference - (sum(r[1] for r in rows) / 200 - 0.8)) < 1e-12
+    assert np.allclose([got.recall_lower, got.recall_upper], np.quantile(diffs, [0.025, 0.975])) and abs(w.mean() - 1) < 0.1
+
+
 def test_islands_invariants(spark):
     rows = [(i % 7, (i * 37) % 60, i % 9 + 1, "Phone" if i % 2 else "PatientName", f"d{i % 3}", 0.9, f"s{i % 4}" if not i % 2 else None, "Exact") for i in range(200)]
     df = spark.createDataFrame(rows, "record_id int, start int, len int, kind string, detector_id string, confidence double, subject_id string, match string")
