@@ -9,7 +9,8 @@ remain in it; a link needs a multiset overlap (sum of minima by sum of maxima) o
 
 Defined cases: a null text counts as empty; texts without a word form one class; equal texts (up to case and white space)
 fall in one class without being compared; null and repeated ids are kept, since rows are told apart by their place; the
-class id is the smallest doc_id of its rows (null if all are null); input columns of any name pass through.
+class id is the smallest doc_id of its rows (null if all are null); other columns pass, those that begin with two underscores
+only if they are set apart first, as the stage does.
 """
 
 from __future__ import annotations
@@ -222,6 +223,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     than a link may be long (one less the overlap is a metric), in large ones by blocks. So every pair of different texts
     that shares a band is compared, or already in one class, or proven to be no link.
     """
+    if any(c.startswith("__") for c in docs.columns):
+        raise ValueError("columns that begin with two underscores must be set apart first")
     signed = C.written(docs.mapInArrow(_signed(docs.columns.index(text_col), k, bands, rows), C.with_fields(docs, __row="long", __digest="binary", __bands="array<long>")), "signed")
     nodes = C.written(signed.groupBy("__digest").agg(F.min("__row").alias("__node"), F.min(id_col).alias("__id")), "nodes")
     buckets = C.written(signed.select("__row", "__bands").join(nodes.select(F.col("__node").alias("__row")), "__row", "left_semi").select(F.col("__row").alias("__node"), F.explode("__bands").alias("__bucket")).where("__bucket <> 0"), "buckets")
@@ -254,4 +257,5 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
-    return near_duplicates(docs).where("__first").select(*docs.columns)
+    rows, names = C.apart(docs)
+    return C.together(near_duplicates(rows, C.at(docs, "text"), C.at(docs, "doc_id")).where("__first"), names)

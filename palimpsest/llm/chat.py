@@ -5,11 +5,12 @@ to it: the running sum of two hashes of role, text and place. A conversation who
 prefix of another is dropped by an anti-join; of equal conversations the one with the smallest id stays. The remaining ones
 are rendered with role marks.
 
-Turns are ordered by turn, role and text and handled in blocks of `BLOCK` turn numbers, so that no task holds a whole long
-conversation; one of up to `BLOCK` turns is rendered as one part.
+Turns are ordered by turn, role and text. Sums run over blocks of `BLOCK` turn numbers, so that no window holds a whole long
+conversation; each kept conversation is rendered as one row, however many turns it has.
 
 Defined cases: repeated rows count once; a null role or text counts as empty, a null turn comes first; rows without a
-conv_id form one conversation (null id); an empty table gives no row; other columns are not read.
+conv_id form one conversation (null id); ids of any type are kept as they are; an empty table gives no row; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK = 1000
-_NONE = -(1 << 63)
 
 
 def _summed(turns: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -37,8 +37,9 @@ def _summed(turns: DataFrame, values: dict[str, Column]) -> DataFrame:
 def prefixes(logs: DataFrame) -> DataFrame:
     """(c, block, turn, role, text, pos, p, q): each distinct turn with its place and the hashes of its prefix."""
     turns = logs.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NONE)).alias("c"),
-        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"),
+        "conv_id",
+        F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).distinct()
@@ -50,17 +51,19 @@ def prefixes(logs: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(c, n): conversations that are no proper prefix of another, one of each set of equal ones."""
-    whole = turns.groupBy("c").agg(F.max(F.struct("pos", "p", "q")).alias("w")).select("c", "w.*")
-    ends = whole.groupBy("pos", "p", "q").agg(F.min("c").alias("c"))
+    whole = turns.groupBy("c").agg(F.max(F.struct("pos", "p", "q")).alias("w"), F.min("conv_id").alias("conv_id")).select("c", "conv_id", "w.*")
+    ends = whole.groupBy("pos", "p", "q").agg(F.min(F.struct("conv_id", "c")).alias("m")).select("pos", "p", "q", "m.c")
     inner = turns.join(whole.select("c", F.col("pos").alias("n")), "c").where("pos < n").select("pos", "p", "q").distinct()
     return ends.join(inner, ["pos", "p", "q"], "left_anti").select("c", F.col("pos").alias("n"))
 
 
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, rendered): the kept conversations, a row for each of their blocks in order."""
+    """(conv_id, n_turns, rendered): the kept conversations, joined block by block and then into one text."""
     piece = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
-    rows = turns.join(kept, "c").groupBy("c", "n", "block").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("x")))).alias("xs"))
-    return rows.select(F.nullif("c", F.lit(_NONE)).alias("conv_id"), F.col("block").cast("long").alias("part"), F.col("n").cast("long").alias("n_turns"), F.array_join(F.col("xs.x"), "").alias("rendered"))
+    joined = lambda xs: F.array_join(F.transform(F.sort_array(xs), lambda x: x["x"]), "")
+    rows = turns.join(kept, "c").groupBy("c", "n", "block").agg(F.min("conv_id").alias("conv_id"), joined(F.collect_list(F.struct("pos", piece.alias("x")))).alias("x"))
+    rows = rows.groupBy("c", "n").agg(F.min("conv_id").alias("conv_id"), joined(F.collect_list(F.struct("block", "x"))).alias("rendered"))
+    return rows.select("conv_id", F.col("n").cast("long").alias("n_turns"), "rendered")
 
 
 def collapse(logs: DataFrame) -> DataFrame:
@@ -72,12 +75,12 @@ def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-#: Compares whole conversations as lists; rows of one part, as all conversations of fewer than BLOCK turns have.
+#: Compares whole conversations as lists.
 OP6_SQL = """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 whole AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn, role, text) AS l, list('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) ORDER BY turn, role, text) AS r FROM turns GROUP BY conv_id),
 ends AS (SELECT l, min(conv_id) AS conv_id FROM whole GROUP BY l),
 inner_ AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM whole))
-SELECT e.conv_id, 0::BIGINT AS part, len(w.l)::BIGINT AS n_turns, array_to_string(w.r, '') AS rendered
+SELECT e.conv_id, len(w.l)::BIGINT AS n_turns, array_to_string(w.r, '') AS rendered
 FROM ends e JOIN whole w ON w.conv_id = e.conv_id WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.l = e.l)
 """

@@ -5,35 +5,41 @@ Words are maximal runs of bytes that are not ASCII white space, after Unicode lo
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a table that was counted may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from ..sources.tables import scratch, shared_dir, written
+
+__all__ = ["scratch", "shared_dir", "written"]
+
+#: Bytes of files up to which a written table may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text that one vectorised step holds at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+def apart(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by their places, so that no column of its own clashes with an operator's, and its names."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))), df.columns
+
+
+def together(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns of a table set apart under their own names again, and further ones."""
+    return df.select(*(f"_{i}" for i in range(len(names))), *more).toDF(*names, *more)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again; it outlives any executor."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/palimpsest/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def at(df: DataFrame, name: str) -> str:
+    """The name that a column has once its table is set apart."""
+    return f"_{df.columns.index(name)}"
 
 
 def with_fields(df: DataFrame, **more: str) -> T.StructType:
@@ -44,9 +50,10 @@ def with_fields(df: DataFrame, **more: str) -> T.StructType:
     return out
 
 
-def looked_up(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined to small, a written table; small is broadcast only if its counted rows stay within the bound."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, keys, how)
+def looked_up(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """big joined to small, a written table; small is broadcast only if its files stay within the bound in bytes."""
+    size = small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return big.join(F.broadcast(small) if int(str(size)) <= most else small, keys, how)
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -28,6 +28,8 @@ from . import common as C
 
 #: Documents of each language that training reads; every language is learned.
 SAMPLE = 500
+#: Bytes of text whose chains are in memory at a time.
+PREDICTED = 1 << 19
 SEGMENT, GRAMS, AFFIXES, LEXICON = 64, 1 << 16, 1 << 14, 40_000
 _LETTER = re.compile(r"[^\W\d_]")
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -233,7 +235,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def _predict(where: int, model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in C.text_chunks(batch.column(where)):
+            for a, b in C.text_chunks(batch.column(where), PREDICTED):
                 part = batch.slice(a, b - a)
                 texts = part.column(where)
                 lang, score = ["und"] * (b - a), np.zeros(b - a)
@@ -249,8 +251,10 @@ def _predict(where: int, model: Model | None):
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "score")
-    return docs.mapInArrow(_predict(docs.columns.index(text_col), model), C.with_fields(docs, lang_pred="string", score="double"))
+    text = docs.select(F.col(text_col).alias("t"), *(c for c in docs.columns if c.lower() not in ("lang_pred", "score")))
+    rows, names = C.apart(text)
+    out = rows.mapInArrow(_predict(0, model), C.with_fields(rows, lang_pred="string", score="double"))
+    return out.select(*(f"_{i}" for i in range(1, len(names))), "lang_pred", "score").toDF(*names[1:], "lang_pred", "score")
 
 
 def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,11 +262,9 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), fit(docs)).select("doc_id", C.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-#: A text whose leading language has a smaller share of its letters is rejected, as is `und`.
-LEAST_SHARE = 0.35
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter or without a leading language go."""
-    kept = identify(docs.select(*docs.columns, F.col("text").alias("__text")), fit(docs), "__text")
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents with a language, however many they hold; those without a letter go. Without a model none goes."""
+    model = fit(docs)
+    rows, names = C.apart(docs)
+    kept = identify(rows, model, C.at(docs, "text"))
+    return C.together(kept if model is None else kept.where("lang_pred <> 'und'"), names)

@@ -22,8 +22,6 @@ from . import common as C
 TEMPERATURE = 0.7
 #: Largest mean of one inversion, and how many terms of its distribution count (the rest is below 2**-60).
 PART, TERMS = 32.0, 140
-#: Sources up to which the rates are broadcast.
-SOURCES = 20_000
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | DataFrame | None = None, source_col: str = "source", text_col: str = "text", temperature: float = TEMPERATURE) -> DataFrame:
@@ -53,13 +51,16 @@ def _distribution(mean: Column) -> Column:
 
 
 def replicate(docs: DataFrame, targets: dict[str, float] | DataFrame | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 42, temperature: float = TEMPERATURE) -> DataFrame:
-    """The columns of docs and __copy (from 1), a row a replica, in shuffled order."""
-    table = rates(docs, targets, source_col, text_col, temperature)
+    """The columns of docs and __copy (from 1), a row a replica, in shuffled order. A row without an id is told by its text; those
+    without one are also dealt out by all they hold."""
+    source, text, row_id = C.at(docs, source_col), C.at(docs, text_col), C.at(docs, id_col)
+    docs, names = C.apart(docs)
+    table = rates(docs, targets, source, text, temperature)
     parts = F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)).cast("int")
     table = C.written(table.select(F.coalesce("__source", F.lit("")).alias("__s"), F.col("__source").isNull().alias("__none"), parts.alias("__parts"), _distribution(F.col("__rate") / parts).alias("__below")), "rates")
-    who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.select("*", F.coalesce(F.col(source_col), F.lit("")).alias("__s"), F.col(source_col).isNull().alias("__none"), who.alias("__who"))
-    keyed = C.looked_up(keyed, table, ["__s", "__none"], rows=SOURCES)
+    who = F.coalesce(F.col(row_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.select("*", F.coalesce(F.col(source), F.lit("")).alias("__s"), F.col(source).isNull().alias("__none"), who.alias("__who"))
+    keyed = C.looked_up(keyed, table, ["__s", "__none"])
 
     def drawn(part: Column) -> Column:
         u = C.unit(F.col("__who"), F.lit(seed), part)
@@ -67,8 +68,8 @@ def replicate(docs: DataFrame, targets: dict[str, float] | DataFrame | None = No
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, part: acc + drawn(part))
     copies = keyed.withColumn("__count", count).where("__count > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    order = F.xxhash64("__who", "__copy", F.lit(seed))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").select(*docs.columns, "__copy")
+    order = F.xxhash64("__who", "__copy", F.lit(seed), F.when(F.col(row_id).isNull(), F.xxhash64(*docs.columns)))
+    return C.together(copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order"), names, "__copy")
 
 
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,8 @@ SELECT d.*, c.copy::INTEGER AS copy FROM documents d JOIN (SELECT doc_id, unnest
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate asks for."""
-    return replicate(docs).drop("__copy")
+    rows, names = C.apart(docs)
+    return C.together(replicate(rows, None, C.at(docs, "source"), C.at(docs, "text"), C.at(docs, "doc_id")), names)
 
 
 assert math.exp(-PART) > 0

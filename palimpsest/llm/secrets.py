@@ -1,8 +1,9 @@
 """Secret scans: base patterns and character Markov models, by Spark SQL functions alone.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained on the
-driver from labelled samples. A token of 16 or more characters of the base64, hex and identifier alphabets, holding a digit
-or both cases, is a secret if the log-likelihood ratio of its transitions is above a threshold a transition on average.
+driver from labelled samples. In each token of 12 or more characters of the base64, hex and identifier alphabets the stretch
+with the highest log-likelihood ratio of its transitions is found; it is a secret if that ratio is above a threshold, a higher
+one for stretches of a single case without digits.
 Base spans stay whatever the models say. Offsets are code points, ends exclusive.
 
 Defined cases: a null text counts as empty; a text without spans gives empty span lists and the digest of the empty string;
@@ -18,12 +19,18 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import common as C
+
 BASE = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
     ("access", r"AKIA[A-Z0-9]+", 20),
     ("hex", r"[0-9a-f]{24,}", 24),
 )
-TOKEN, SHORTEST, MARGIN = r"[A-Za-z0-9+/_=-]{16,}", 16, 0.25
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
+#: Log-likelihood ratio above which a stretch is a secret, and its least length: of stretches with digits or both cases, and of plain
+#: ones, which are words much more often, so that more must speak for a secret.
+MIXED, SHORTEST, PLAIN, SHORTEST_PLAIN = 10.0, 12, 18.0, 16
 _CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(_CLASSES)
 
@@ -92,29 +99,42 @@ def trained(n: int = 6000, seed: int = 20) -> list[float]:
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches: the gaps between them give their places."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    placed = F.aggregate(
-        F.filter(steps, lambda s: s["h"].isNotNull()),
-        start,
-        lambda acc, s: F.struct((acc["at"] + s["g"] + s["h"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + s["g"]).alias("start"), (acc["at"] + s["g"] + s["h"]).alias("end")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.zip_with(placed, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))).otherwise(none)
+    whole = T.spans(text, pattern)
+    if not group:
+        return F.transform(whole, lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["len"]).alias("end"), p["value"].alias("value")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    both = F.zip_with(whole, values, lambda p, v: F.struct(p["start"].alias("start"), (p["start"] + p["len"]).alias("end"), v.alias("value")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), both).otherwise(none)
+
+
+def _stretch(token: Column, table: Column) -> Column:
+    """struct<best, lo, hi>: the stretch of a token with the highest log-likelihood ratio, so that a name or path that a secret is
+    joined to does not hide it. One pass over the characters."""
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_CLASSES), c) - 1)
+    start = F.struct(F.lit(-1).alias("prev"), F.lit(0).alias("i"), F.lit(0.0).alias("cur"), F.lit(0).alias("at"), F.lit(0.0).alias("best"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+
+    def step(acc: Column, c: Column) -> Column:
+        ratio = F.when(acc["prev"] < 0, 0.0).otherwise(F.element_at(table, acc["prev"] * _N + c + 1))
+        return F.struct(c.alias("prev"), (acc["i"] + 1).alias("i"), (F.greatest(acc["cur"], F.lit(0.0)) + ratio).alias("cur"), F.when(acc["cur"] > 0, acc["at"]).otherwise(F.greatest(acc["i"] - 1, F.lit(0))).alias("at"), acc["best"].alias("best"), acc["lo"].alias("lo"), acc["hi"].alias("hi"))
+
+    def kept(acc: Column) -> Column:
+        more = acc["cur"] > acc["best"]
+        return F.struct(acc["prev"], acc["i"], acc["cur"], acc["at"], F.greatest(acc["cur"], acc["best"]).alias("best"), F.when(more, acc["at"]).otherwise(acc["lo"]).alias("lo"), F.when(more, acc["i"]).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(codes, start, lambda acc, c: T.bound(step(acc, c), kept), lambda acc: F.struct(acc["best"].alias("best"), acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
-def _llr(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
-    at = lambda i: F.instr(F.lit(_CLASSES), F.substring(token, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, at(i) * _N + at(i + 1) + 1))
-    return total / (F.length(token) - 1)
+def _random(text: Column, ratio: Column) -> Column:
+    """array<struct<start, end>>: the stretches of tokens that the models take for random strings."""
+    scored = F.transform(found(text, TOKEN), lambda h: F.struct(h["start"].alias("start"), h["value"].alias("value"), _stretch(h["value"], ratio).alias("s")))
+    cut = F.transform(scored, lambda h: F.struct((h["start"] + h["s"]["lo"]).alias("start"), (h["start"] + h["s"]["hi"]).alias("end"), h["s"]["best"].alias("best"), F.substring(h["value"], h["s"]["lo"] + 1, h["s"]["hi"] - h["s"]["lo"]).alias("v")))
+    mixed = lambda h: F.regexp_like(h["v"], F.lit("[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"))
+    return F.filter(cut, lambda h: F.when(mixed(h), (F.length(h["v"]) >= SHORTEST) & (h["best"] > MIXED)).otherwise((F.length(h["v"]) >= SHORTEST_PLAIN) & (h["best"] > PLAIN)))
 
 
-def spans(text: Column, table: list[float] | None = None, margin: float = MARGIN) -> Column:
-    """array<struct<start, rank, end, kind>> of base spans, then of the model's tokens (kind `random`), sorted by start and kind."""
+def spans(text: Column, table: list[float] | None = None) -> Column:
+    """array<struct<start, rank, end, kind>> of base spans, then of the models' stretches (kind `random`), sorted by start and kind."""
     text = F.coalesce(text, F.lit(""))
     ratio = F.array(*map(F.lit, table or trained()))
 
@@ -125,9 +145,7 @@ def spans(text: Column, table: list[float] | None = None, margin: float = MARGIN
         return F.filter(hits, lambda h: F.length(h["value"]) >= least)
 
     parts = [named(long_enough(found(text, pattern, int(kind == "assign")), least), rank, kind) for rank, (kind, pattern, least) in enumerate(BASE)]
-    varied = F.filter(found(text, TOKEN), lambda h: F.regexp_like(h["value"], F.lit("[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")))
-    parts.append(named(F.filter(varied, lambda h: _llr(h["value"], ratio) > margin), len(BASE), "random"))
-    return F.array_sort(F.concat(*parts))
+    return F.array_sort(F.concat(*parts, named(_random(text, ratio), len(BASE), "random")))
 
 
 def joined(found_: Column) -> Column:
@@ -162,7 +180,8 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets replaced and its length counted anew."""
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    clean = docs.select(*names, "n_chars", "text", spans(F.col("text")).alias("__spans")).withColumn("text", redacted(F.col("text"), F.col("__spans")))
-    clean = clean.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    text, n = C.at(docs, "text"), C.at(docs, "n_chars")
+    rows, names = C.apart(docs)
+    clean = rows.withColumn("spans", spans(F.col(text))).withColumn(text, redacted(F.col(text), F.col("spans")))
+    clean = clean.withColumn(n, F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return C.together(clean, names)

@@ -105,24 +105,30 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     return rows.select("*", signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, similarity) of representatives of equal fingerprints, and membership (doc_id, representative).
+def near_pairs(docs: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", part: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) of different fingerprints, each named by its digest, and membership (doc_id, a row each, null ids and
+    repeated ones too, with the digest of its fingerprint).
 
     A set's prefix holds its |S| - ceil(t |S|) + 1 rarest signatures; two sets that are alike share one of both prefixes and
-    differ in length by the factor t at most, so their length partitions are equal or neighbours."""
+    differ in length by the factor t at most, so their length partitions are equal or neighbours. A signature that stands in many
+    prefixes of a partition is dealt over blocks of about `part` of them, block against block, so that no task holds them all."""
     sets = C.written(docs.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col)).alias("s")).withColumn("f", F.sha2(fingerprint(F.col("s")), 256)), "sets")
-    reps = C.written(sets.groupBy("f").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s")).where("rep IS NOT NULL"), "reps")
-    words = reps.select("rep", F.explode("s").alias("x"), F.size("s").alias("n"))
+    reps = C.written(sets.groupBy("f").agg(F.first("s").alias("s")), "reps")
+    words = reps.select("f", F.explode("s").alias("x"), F.size("s").alias("n"))
     common = words.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = words.join(common, "x").withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("df", "x")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("rep", "x", "n", F.floor(F.log("n") / -F.log(F.lit(threshold))).alias("part"))
-    prefix = C.written(prefix, "prefix")
-    other = prefix.select(F.col("rep").alias("b"), "x", F.col("n").alias("m"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    other = other.unionByName(prefix.select(F.col("rep").alias("b"), "x", F.col("n").alias("m"), (F.col("part") - 1).alias("part")))
-    pairs = prefix.withColumnRenamed("rep", "a").join(other, ["x", "part"]).where("a < b").where((F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))).select("a", "b").distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return pairs, sets.join(reps.select("f", F.col("rep").alias("representative")), "f").select("doc_id", "representative")
+    ranked = words.join(common, "x").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    first = F.slice("xs", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    prefix = C.written(ranked.select("f", "n", F.floor(F.log("n") / -F.log(F.lit(threshold)) + 1e-9).alias("part"), F.explode(first).alias("e")).select("f", "n", "part", "e.x"), "prefix")
+    both = prefix.select("f", "n", "x", F.lit(0).alias("side"), F.col("part")).unionByName(prefix.select("f", "n", "x", F.lit(1).alias("side"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part")))
+    sizes = C.written(both.groupBy("x", "part").agg(F.max("side").alias("hi"), F.min("side").alias("lo"), F.count("*").alias("m")).where("hi > lo").select("x", "part", F.ceil(F.col("m") / part).cast("int").alias("blocks")), "sizes")
+    dealt = C.looked_up(both, sizes, ["x", "part"]).withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("side = 0").select(F.col("f").alias("a"), "n", "x", "part", F.col("mine").alias("i"), every.alias("j"))
+    right = dealt.where("side = 1").select(F.col("f").alias("b"), F.col("n").alias("m"), "x", "part", F.col("mine").alias("j"), every.alias("i"))
+    pairs = left.join(right, ["x", "part", "i", "j"]).where("a < b").where((F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))).select("a", "b").distinct()
+    pairs = pairs.join(reps.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = pairs.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs, sets.select("doc_id", F.col("f").alias("fingerprint"))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

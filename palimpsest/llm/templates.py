@@ -209,7 +209,7 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     sums = C.written(sums.where(F.col("support") >= LEAST_PAGES), "tokens")
     sizes = C.written(copies.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    frequent = C.looked_up(sums, sizes, ["host"], rows=HOSTS).where(F.col("support") >= F.col("pages") * LEAST_SHARE)
+    frequent = C.looked_up(sums, sizes, ["host"]).where(F.col("support") >= F.col("pages") * LEAST_SHARE)
     tokens = frequent.where("kind < 2")
     classes = tokens.groupBy("host", "support", "total", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_TOKENS)
     kept = tokens.join(classes, ["host", "support", "total", "vector"])
@@ -284,7 +284,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1))
     rows = pages.select("*", name.alias("__host"), F.col(html_col).alias("__html"))
     made = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).select(F.col("host").alias("__host"), F.col("tokens").alias("__template"), F.col("linked").alias("__linked"))
-    joined = C.looked_up(rows, made, ["__host"], "left", rows=HOSTS)
+    joined = C.looked_up(rows, made, ["__host"], "left")
     return joined.mapInArrow(_extracted(pages.columns), C.with_fields(pages, __main="string", __tokens="long", __slots="long"))
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,8 +55,12 @@ def test_clashing_columns(spark, odd):
     assert packing.pack(docs).count() >= docs.count()
     assert mixing.replicate(docs, {"a": 0.5, "b": 0.5}).where("start = 'mine' AND copy = 'mine'").count() > 0
     assert secrets.scan(docs).schema["secrets"].dataType.simpleString().startswith("array")
+    docs = docs.withColumns({c: F.lit("mine") for c in ("__row", "__digest", "__spans", "__s", "_0", "__copy", "Score")}).drop("score")
+    assert {r.score for r in quality.score(docs, model).collect()} == {0.25}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
+    with pytest.raises(ValueError, match="apart"):
+        bagminhash.near_duplicates(docs)
 
 
 def test_media_round_trip(spark, odd, saved):
@@ -211,14 +216,18 @@ def test_spotsigs_match_brute_force(spark, saved):
     assert got[0].fingerprint == got[12].fingerprint and got[1].fingerprint != got[2].fingerprint
 
 
-def test_spotsigs_pairs(spark):
+@pytest.mark.parametrize("part", [512, 2])
+def test_spotsigs_pairs(spark, part):
+    """All pairs of different fingerprints, whatever the ids: null ones, and one id on two texts; hot signatures dealt over blocks too."""
     texts = [prose(i, 80).replace(" ba", " the ba").replace(" mo", " of a mo").replace(" ka", " to ka") for i in range(30)]
     texts += [t + " the very end" for t in texts[:10]] + texts[:5]
-    pairs, members = spotsigs.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.6)
-    rep = {r.doc_id: r.representative for r in members.collect()}
-    sets = {d: brute_signatures(texts[d]) for d in set(rep.values())}
+    ids = [None if i in (3, 4) else 7 if i in (7, 20) else i for i in range(len(texts))]
+    pairs, members = spotsigs.near_pairs(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 0.6, part=part)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.sha2(spotsigs.fingerprint(spotsigs.signatures(F.col("text"))), 256).alias("f")).collect()
+    sets = {r.f: brute_signatures(texts[r.i]) for r in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) >= 5 and all(rep[40 + i] == i for i in range(5))
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) >= 5
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint) for r in members.collect()) == sorted((ids[r.i] is None, ids[r.i] or 0, r.f) for r in rows)
 
 
 def test_language_accuracy_and_switching(spark):
@@ -270,6 +279,7 @@ def test_quality_learns_without_negatives(spark):
     held_rows = [(got[i], y) for i, _, y in good + bad if held(i)]
     assert np.mean([(s >= 0.5) == bool(y) for s, y in held_rows]) > 0.95
     assert got[5000] == got[5001] and 0 <= got[5000] <= 1
+    assert quality.fit(docs, labels.where("quality = 1")).score(quality.features(pa.array([prose(3000, 80)])))[0] == model.score(quality.features(pa.array([prose(3000, 80)])))[0]
     assert quality.fit(docs, labels.where("quality = 5")).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
 
 
@@ -280,3 +290,11 @@ def test_mixing_counts(spark):
     assert abs(n["a"] - 2000) < 200 and abs(n["b"] - 2000) < 200 and None not in n
     again = {r.source: r["count"] for r in mixing.replicate(docs.repartition(7), {"a": 0.5, "b": 0.5}).groupBy("source").count().collect()}
     assert again == n
+
+
+def test_class_prior():
+    """The share of positives among unlabelled rows, found without a negative label; and the risk's gradient, by differences."""
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.85):
+        u = np.where(rng.random(3000)[:, None] < share, rng.normal(2, 1, (3000, 4)), rng.normal(-2, 1, (3000, 4)))
+        assert abs(quality.class_prior(rng.normal(2, 1, (1500, 4)), u) - share) < 0.06

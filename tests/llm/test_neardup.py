@@ -103,9 +103,12 @@ def test_sql(spark, name, query, sql):
 
 def test_chat_cases(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "c"), (4, 0, "user", "c"), (None, 0, None, None), (5, None, "user", "z"), (5, 2500, "user", "late")]
-    got = {(r.conv_id, r.part): r for r in collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(2, 0), (4, 0), (None, 0), (5, -1), (5, 2)}
-    assert got[2, 0].rendered == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n" and got[4, 0].n_turns == 1
+    got = {r.conv_id: r for r in collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {2, 4, None, 5}
+    assert got[5].n_turns == 2 and got[5].rendered == "<|user|>\nz<|end|>\n<|user|>\nlate<|end|>\n"
+    assert got[2].rendered == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n" and got[4].n_turns == 1
+    ids = spark.createDataFrame([("07", 0, "user", "a"), ("7", 0, "user", "b"), ("x", 0, "user", "b"), ("x", 1, "user", "c")], "conv_id string, turn long, role string, text string")
+    assert sorted((r.conv_id, r.n_turns) for r in collapse(ids).collect()) == [("07", 1), ("x", 2)]
 
 
 PAGE = """<html><head><title>T{i}</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
