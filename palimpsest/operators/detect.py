@@ -85,7 +85,8 @@ def _boundary(gap: Column, punct: Column, word: Column) -> Column:
 
 def _spans(texts: DataFrame, hits: DataFrame, ends: bool) -> DataFrame:
     """Places where all words of a value stand in a row. hits: words of a record's text, each with the target word it matches and
-    a score; ends: whether sentence ends and blank lines part them."""
+    a score; ends: whether sentence ends and blank lines part them. The hits are written, since both their words and they are read."""
+    hits = written(hits, "hits")
     matched = hits.groupBy("record_id").agg(F.collect_set("word").alias("ms"))
     toks = texts.select("record_id", T.tokens(F.col("text")).alias("toks")).join(matched, "record_id")
     found = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda x: F.array_contains("ms", x["t"]["word"]))
@@ -114,9 +115,9 @@ def _everywhere(spark: SparkSession, lineage: Lineage | None) -> Column | None:
 def known_values(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:
     """Roster values, and those of a lineage, found through spelling damage, word by word."""
     texts = _texts(docs)
-    seen = texts.select("record_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).withColumn("key", T.phonetic_key(F.col("word"))).where("key <> ''")
+    seen = texts.select("record_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).withColumn("key", T.phonetic_key(F.col("word")))
     # No accepted word is more than two edits away: a distance that ends early settles most pairs.
-    near = lambda key: (F.col("key") == key) | (F.levenshtein(F.col("key"), key, 2) >= 0)
+    near = lambda key: F.levenshtein(F.col("key"), key, 2) >= 0
     pairs = seen.join(targets(roster), "record_id").where(near(F.col("t_key")))
     if (shared := _everywhere(docs.sparkSession, lineage)) is not None:
         more = seen.select("record_id", "word", "key", F.explode(F.filter(shared, lambda t: near(t["t_key"]))).alias("t")).select("record_id", "word", "key", "t.*").drop("f")
