@@ -14,6 +14,7 @@ stay; an empty table gives no archive and no row; equal texts have equal stored
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -32,8 +33,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import common as C
 
 UNIT, ROWS = 64, 64
-#: An archive is closed when it holds this many bytes; a range of it is one partition; a batch is sent at this size.
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 32 << 20, 8 << 20, 4 << 20, 4
+#: An archive is closed when it holds this many bytes; a range of it is one partition, a longer one where there would be more
+#: than PARTITIONS of them; a batch is sent at its size.
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES, PARTITIONS = 1 << 30, 8 << 20, 4 << 20, 4, 50_000
+LISTED = "archives.json"
 SCHEMA = "member string, offset long, n_bytes long, payload binary, media binary, feature string"
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -80,46 +83,64 @@ def feature(samples: np.ndarray) -> str:
     return f"{bits}:{samples.mean():.3f}:{samples.std(dtype=np.float64):.3f}"
 
 
+class _Counted(io.RawIOBase):
+    """A stream that tells how much went into it and cannot be wound back."""
+
+    def __init__(self, out):
+        self.out, self.size = out, 0
+
+    def writable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return False
+
+    def write(self, data) -> int:
+        self.out.write(bytes(data))
+        self.size += len(data)
+        return len(data)
+
+
 def _archived(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(folder)
-        part, number, members, count = TaskContext.get().partitionId(), 0, 0, 0
-        buffer = io.BytesIO()
-        archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
+        part, count, closed, now = TaskContext.get().partitionId(), 0, [], None
 
         def close() -> None:
-            nonlocal number, members, buffer, archive
-            archive.close()
-            if members:
-                name, draft = f"{root}/part-{part:06d}-{number:05d}.zip", f"{root}/_draft-{uuid.uuid4().hex}"
-                with place.open_output_stream(draft) as out:
-                    out.write(buffer.getbuffer())
-                if place.get_file_info(name).type != fs.FileType.NotFound:
-                    place.delete_file(name)
-                place.move(draft, name)
-            number, members, buffer = number + 1, 0, io.BytesIO()
-            archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
+            nonlocal now
+            if now is not None:
+                name, stream, archive = now
+                archive.close()
+                stream.out.close()
+                closed.append((name, stream.size))
+                now = None
 
         for batch in batches:
             for a, b in C.text_chunks(batch.column(1)):
                 for name, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    archive.writestr(zipfile.ZipInfo(f"{count:09d}-{'null' if name is None else name}.png"), encode(*payload(text)))
-                    members, count = members + 1, count + 1
-                    if buffer.tell() >= ARCHIVE_BYTES:
+                    if now is None:
+                        path = f"part-{part:06d}-{len(closed):05d}-{uuid.uuid4().hex}.zip"
+                        stream = _Counted(place.open_output_stream(f"{root}/{path}"))
+                        now = path, stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
+                    now[2].writestr(zipfile.ZipInfo(f"{count:09d}-{'null' if name is None else name}.png"), encode(*payload(text)))
+                    count += 1
+                    if now[1].size >= ARCHIVE_BYTES:
                         close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["members"])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in closed], pa.string()), pa.array([z for _, z in closed], pa.int64())], names=["name", "size"])
 
     return run
 
 
 def archive(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> str:
-    """Writes the archives of every text and returns their folder."""
+    """Writes the archives of every text and the list of them, and returns their folder."""
     folder = f"{C.shared_dir(docs.sparkSession)}/palimpsest/media-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else folder.removeprefix("file:")
     place, root = fs.FileSystem.from_uri(folder)
     place.create_dir(root, recursive=True)
-    docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_archived(folder), "members long").agg(F.sum("members")).collect()
+    made = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_archived(folder), "name string, size long").collect()  # a row for each archive of up to 1 GB
+    with place.open_output_stream(f"{root}/{LISTED}") as out:
+        out.write(json.dumps(sorted([r.name, r.size] for r in made)).encode())
     return folder
 
 
@@ -136,37 +157,55 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         place, root = fs.FileSystem.from_uri(self.folder)
-        files = sorted((f.path, f.size) for f in place.get_file_info(fs.FileSelector(root)) if f.path.endswith(".zip"))
-        return [ByteRange(path, at, min(at + RANGE_BYTES, size)) for path, size in files for at in range(0, size, RANGE_BYTES)] or [ByteRange("", 0, 0)]
+        with place.open_input_file(f"{root}/{LISTED}") as listed:
+            files = json.loads(listed.read())
+        step = max(RANGE_BYTES, -(-sum(size for _, size in files) // PARTITIONS))
+        return [ByteRange(f"{root}/{name}", at, min(at + step, size)) for name, size in files for at in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         place, _ = fs.FileSystem.from_uri(self.folder)
-        source = place.open_input_file(partition.path)
-        with zipfile.ZipFile(source) as directory:
-            members = [(m.header_offset, m.filename, m.file_size, m.CRC) for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
-            source = place.open_input_file(partition.path)
-            rows: list[tuple] = []
-            size = 0
-            for offset, name, length, crc in members:
-                for attempt in range(TRIES):
-                    try:
-                        media = member(source, offset, length, crc)
-                        break
-                    except (OSError, ValueError, struct.error):
-                        if attempt == TRIES - 1:
-                            raise
-                        source = place.open_input_file(partition.path)
-                samples, n = decode(media)
-                data = samples.tobytes()
-                rows.append((name, offset, n, data, media, feature(samples)))
-                size += len(data) + len(media)
-                if size >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
+        members = _retried(lambda: directory(place, partition))
+        source = None
+        rows: list[tuple] = []
+        size = 0
+
+        def one(offset: int, length: int, crc: int) -> bytes:
+            nonlocal source
+            try:
+                source = source or place.open_input_file(partition.path)
+                return member(source, offset, length, crc)
+            except Exception:
+                source = None  # the next try opens the archive anew
+                raise
+
+        for offset, name, length, crc in members:
+            media = _retried(lambda at=(offset, length, crc): one(*at))
+            samples, n = decode(media)
+            data = samples.tobytes()
+            rows.append((name, offset, n, data, media, feature(samples)))
+            size += len(data) + len(media)
+            if size >= BATCH_BYTES:
                 yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _retried(f):
+    for attempt in range(TRIES):
+        try:
+            return f()
+        except (OSError, ValueError, struct.error, zipfile.BadZipFile):
+            if attempt == TRIES - 1:
+                raise
+
+
+def directory(place, partition: ByteRange) -> list[tuple[int, str, int, int]]:
+    """(offset, name, length, CRC) of the members whose headers begin in a range."""
+    with place.open_input_file(partition.path) as source, zipfile.ZipFile(source) as archive_:
+        return [(m.header_offset, m.filename, m.file_size, m.CRC) for m in archive_.infolist() if partition.start <= m.header_offset < partition.end]
 
 
 def member(source, offset: int, length: int, crc: int) -> bytes:

@@ -7,14 +7,14 @@ Classes with enough tokens and pages make the host's template, in the order of t
 on a page if its tokens stand there in that order, and nests if all of them lie in one slot of the classes before it. Text
 blocks that belong to the template itself are template text; the blocks between its tokens are slots.
 
-Which slots are the article is told by the tags and class names that stand above them: those of menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are left out; where there is an `article` or `main`, only its
-blocks count. Else slots whose text, over the host, is mostly links are left out as well. Template text inside an article is
-left out only where it stands on every one of at least `CONSTANT` pages of its host, and never where nothing else is there.
+Template text is no article. Of the slots, those whose text, over the host, is mostly links are left out, and where no tag says
+which is the article, the host's main slot does: the innermost element that holds `MAIN` or more of the host's unlinked text.
+Tags and class names come before that where a page has them: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and comments are left out, and where there is an `article` or `main`, only its blocks count, all of them.
 Copies of a page are one page of their host: each counts for its share.
 
 Defined cases: null html counts as empty and gives empty text; pages of hosts with few pages, and null or odd urls (one host
-of their own), have no template and go by names alone; unclosed and misnested tags close with their parents; repeated rows
+of their own), have no template and go by names and each block's own links; unclosed and misnested tags close with their parents; repeated rows
 and null ids are extracted like any other; other columns pass through `extract`.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -33,11 +34,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Tokens and pages that a class needs, share of a host's pages, and pages on which constant text inside an article stands.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE, CONSTANT = 3, 3, 0.5, 8
-LINKED = 0.5
-#: Hosts up to which the templates are broadcast.
-HOSTS = 5_000
+#: Tokens and pages that a class needs, and its share of a host's pages.
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.5
+#: Share of a text in links that makes a list of links of it; share of a host's unlinked text that the main slot holds.
+LINKED, MAIN = 0.5, 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -63,6 +63,19 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element: its tag, the key of its path, whether it is in an article or left out, its depth and what it holds."""
+
+    tag: str
+    path: int
+    article: bool
+    out: bool
+    depth: int
+    first: int
+    chars: int = 0
+
+
 class Page:
     """The tokens of one page: keys in order, and its text blocks."""
 
@@ -70,67 +83,79 @@ class Page:
         self.keys: list[int] = []
         #: (place among the keys, key, slot path, text, characters in links, inside an article, left out by its tags)
         self.blocks: list[tuple[int, int, int, str, int, bool, bool]] = []
-        self._stack: list[tuple[str, str, bool, bool]] = []  # tag, path, article, out
+        #: (depth, key, first block, block after the last, unlinked characters) of each element that holds text
+        self.elements: list[tuple[int, int, int, int, int]] = []
+        self._stack: list[_Open] = []
         self._text: list[tuple[str, bool]] = []
         self._read(html)
+        while self._stack:
+            self._leave()
 
     def _flush(self) -> None:
         if self._text:
             whole = " ".join(unescape("".join(t for t, _ in self._text)).split())
             if whole:
                 linked = sum(len(t.strip()) for t, a in self._text if a)
-                _, path, article, out = self._block_parent()
-                key = _key(f"{path}\n{whole}")
-                self.blocks.append((len(self.keys), key, _key(path), whole, min(linked, len(whole)), article, out))
+                up = self._block_parent()
+                key = _key(f"{up.path}\n{whole}")
+                self.blocks.append((len(self.keys), key, up.path, whole, min(linked, len(whole)), up.article, up.out))
+                up.chars += len(whole) - min(linked, len(whole))
                 self.keys.append(key)
             self._text.clear()
 
-    def _block_parent(self) -> tuple[str, str, bool, bool]:
+    def _block_parent(self) -> _Open:
         for x in reversed(self._stack):
-            if x[0] not in _INLINE:
+            if x.tag not in _INLINE:
                 return x
-        return ("", "", False, False)
+        return _Open("", 0, False, False, 0, 0)
+
+    def _leave(self) -> _Open:
+        x = self._stack.pop()
+        if x.tag not in _INLINE and len(self.blocks) > x.first:
+            self.elements.append((x.depth, x.path, x.first, len(self.blocks), x.chars))
+            self._block_parent().chars += x.chars
+        return x
 
     def _pop(self, i: int) -> None:
-        if any(x[0] not in _INLINE for x in self._stack[i:]):
+        if any(x.tag not in _INLINE for x in self._stack[i:]):
             self._flush()
-        for tag, path, _, _ in reversed(self._stack[i:]):
-            if tag not in _INLINE:
-                self.keys.append(_key(f"{path}/"))
-        del self._stack[i:]
+        while len(self._stack) > i:
+            x = self._leave()
+            if x.tag not in _INLINE:
+                self.keys.append(_key(f"{x.path}/"))
 
     def _open(self, tag: str, rest: str) -> None:
         if tag not in _INLINE:
             self._flush()
         if tag in _CLOSES_P:
             for i in range(len(self._stack) - 1, -1, -1):
-                if self._stack[i][0] == "p":
+                if self._stack[i].tag == "p":
                     self._pop(i)
                     break
-                if self._stack[i][0] not in _INLINE:
+                if self._stack[i].tag not in _INLINE:
                     break
         if tag in _SAME:
             for i in range(len(self._stack) - 1, -1, -1):
-                if self._stack[i][0] in _SAME[tag]:
+                if self._stack[i].tag in _SAME[tag]:
                     self._pop(i)
                     break
-                if self._stack[i][0] in _STOP:
+                if self._stack[i].tag in _STOP:
                     break
-        up = self._stack[-1] if self._stack else ("", "", False, False)
+        up = self._stack[-1] if self._stack else _Open("", 0, False, False, 0, 0)
         names = " ".join(_CAMEL.sub("-", v.strip("\"'")) for _, v in _NAMES.findall(rest)) if "=" in rest else ""
-        article = up[2] or tag in ("article", "main") or (tag == "div" and bool(re.search(r"(?:^|\s)articleBody(?:$|\s)", rest)))
+        article = up.article or tag in ("article", "main") or (tag == "div" and bool(re.search(r"(?:^|\s)articleBody(?:$|\s)", rest)))
         root = tag in ("html", "body", "article", "main")
-        out = up[3] or tag in _OUT or (tag == "header" and not up[2]) or (not root and bool(names) and bool(_JUNK.search(names) or (not up[2] and _HEAD.search(names)))) or bool(rest and not root and _HIDDEN.search(rest))
-        path = f"{up[1]}>{tag}.{names}" if names else f"{up[1]}>{tag}"
+        out = up.out or tag in _OUT or (tag == "header" and not up.article) or (not root and bool(names) and bool(_JUNK.search(names) or (not up.article and _HEAD.search(names)))) or bool(rest and not root and _HIDDEN.search(rest))
+        path = _key(f"{up.path}>{tag}.{names}")  # of a fixed size, however deep
         if tag in _VOID:
             if tag in ("br", "wbr"):
                 self._text.append((" " if tag == "br" else "", False))
             elif tag not in _INLINE:
-                self.keys.append(_key(path))
+                self.keys.append(path)
             return
-        self._stack.append((tag, path, article, out))
+        self._stack.append(_Open(tag, path, article, out, up.depth + (tag not in _INLINE), len(self.blocks)))
         if tag not in _INLINE:
-            self.keys.append(_key(path))
+            self.keys.append(path)
 
     def _read(self, html: str) -> None:
         at = 0
@@ -146,13 +171,13 @@ class Page:
             if not tag:
                 continue
             if m.group(1) or m.group(4):
-                if tag == "p" and not any(x[0] == "p" for x in self._stack):
+                if tag == "p" and not any(x.tag == "p" for x in self._stack):
                     self._flush()
                 for i in range(len(self._stack) - 1, -1, -1):
-                    if self._stack[i][0] == tag:
+                    if self._stack[i].tag == tag:
                         self._pop(i)
                         break
-                    if tag in _INLINE and self._stack[i][0] not in _INLINE:
+                    if tag in _INLINE and self._stack[i].tag not in _INLINE:
                         break
                 continue
             rest = m.group(3) or m.group(6) or ""
@@ -165,11 +190,12 @@ class Page:
         self._flush()
 
     def _add(self, text: str) -> None:
-        self._text.append((text, any(x[0] == "a" for x in self._stack)))
+        self._text.append((text, any(x.tag == "a" for x in self._stack)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, kind, n, vector, chars, linked, page, place, copies) of each distinct token of a page; kind 2 is a slot's path."""
+    """(host, key, kind, n, vector, chars, linked, page, place, copies) of each distinct token of a page; kind 2 is a slot's path, kind 3 an
+    element around text, with its depth as place, kind 4 the whole page."""
     for batch in batches:
         for a, b in C.text_chunks(batch.column(1)):
             rows: list[tuple] = []
@@ -187,6 +213,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = chars.setdefault(path, [0, 0])
                     x[0], x[1] = x[0] + len(text), x[1] + linked
                 rows += [(name, p, 2, 1, 0, c, l, h, 0, copies) for p, (c, l) in chars.items()]
+                held: dict[tuple[int, int], int] = {}
+                for depth, key, _, _, c in page.elements:
+                    held[depth, key] = held.get((depth, key), 0) + c
+                if page.blocks:
+                    held[0, 0] = sum(len(x[3]) - x[4] for x in page.blocks)
+                rows += [(name, k, 3 if depth else 4, 1, 0, c, 0, h, depth, copies) for (depth, k), c in held.items()]
             names = ["host", "key", "kind", "n", "vector", "chars", "linked", "page", "place", "copies"]
             kinds = (pa.string(), pa.int64(), pa.int32(), *(pa.int64(),) * 7)
             cols = zip(*rows, strict=True) if rows else ((),) * 10
@@ -194,7 +226,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, linked): each host's template tokens with their class, order and pages, and its slots of mostly links.
+    """(host, tokens, linked, main): each host's template tokens with their class, order and pages, its slots of mostly links, and
+    its main slot.
 
     pages has host and html. Counts per host and token are summed before and after the shuffle; what is collected for a host
     is its template, whose tokens each stand on half of its pages or more, so at most twice a page's tokens."""
@@ -213,15 +246,18 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = frequent.where("kind < 2")
     classes = tokens.groupBy("host", "support", "total", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_TOKENS)
     kept = tokens.join(classes, ["host", "support", "total", "vector"])
-    token = F.struct(F.col("support"), F.xxhash64("vector", "total").alias("class"), F.col("first.place").alias("place"), "key", "kind", (F.col("support") >= F.col("pages")).alias("everywhere"))
+    token = F.struct(F.col("support"), F.xxhash64("vector", "total").alias("class"), F.col("first.place").alias("place"), "key", "kind")
     made = kept.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
     linked = frequent.where((F.col("kind") == 2) & (F.col("linked") > F.col("chars") * LINKED)).groupBy("host").agg(F.collect_list("key").alias("linked"))
-    return C.written(made.join(linked, "host", "full_outer"), "templates")
+    whole = frequent.where("kind = 4").select("host", F.col("chars").alias("all"))
+    held = frequent.where("kind = 3").join(whole, "host").where(F.col("chars") >= F.col("all") * MAIN)
+    main = held.groupBy("host").agg(F.max(F.struct(F.col("first.place").alias("depth"), "chars", "key"))["key"].alias("main"))
+    return C.written(made.join(linked, "host", "full_outer").join(main, "host", "full_outer"), "templates")
 
 
-def main_text(page: Page, tokens: list[dict] | None, linked: set[int]) -> tuple[str, int, int]:
+def main_text(page: Page, tokens: list[dict] | None, linked: set[int], main: int | None = None) -> tuple[str, int, int]:
     """The article of a page, the number of template tokens that hold on it, and of slots with text between them."""
-    constant: dict[int, bool] = {}
+    constant: set[int] = set()
     places: list[int] = []
     if tokens:
         at: dict[int, list[int]] = {}
@@ -241,35 +277,31 @@ def main_text(page: Page, tokens: list[dict] | None, linked: set[int]) -> tuple[
             if places and slot[0] != slot[1] and line[0] > places[0]:
                 continue
             places = sorted({*places, *line})
-            for t in members:
-                if t["kind"] == 1:
-                    constant[t["key"]] = t["everywhere"] and t["support"] >= CONSTANT
+            constant |= {t["key"] for t in members if t["kind"] == 1}
     inside = any(b[5] and not b[6] for b in page.blocks)
-    out, dropped = [], []
-    for _, key, path, text, chars, article, left_out in page.blocks:
-        if left_out or (inside and not article):
-            continue
-        if key in constant and (not article or constant[key]):
-            dropped += [text] if article else []
+    held = {i for _, key, first, after, _ in page.elements if key == main for i in range(first, after)}
+    out = []
+    for i, (_, key, path, text, chars, article, left_out) in enumerate(page.blocks):
+        if left_out or inside and not article:
             continue
-        if not article and (path in linked or chars > len(text) * LINKED and len(text) < 200):
+        if not inside and (key in constant or path in linked or held and i not in held or not tokens and chars > len(text) * LINKED):
             continue
         out.append(text)
     slots = len({int(np.searchsorted(places, b[0])) for b in page.blocks if b[1] not in constant})
-    return "\n".join(out or dropped), len(places), slots
+    return "\n".join(out), len(places), slots
 
 
 def _extracted(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            html, tokens, linked = (names.index(x) for x in ("__html", "__template", "__linked"))
+            html, tokens, linked, main = (names.index(x) for x in ("__html", "__template", "__linked", "__slot"))
             for a, b in C.text_chunks(batch.column(html)):
                 part = batch.slice(a, b - a)
                 rows = []
                 for i, text in enumerate(part.column(html).to_pylist()):
-                    t, k = part.column(tokens)[i].as_py(), part.column(linked)[i].as_py()
-                    rows.append(main_text(Page(text or ""), t, set(k or ())))
+                    t, k, m = (part.column(c)[i].as_py() for c in (tokens, linked, main))
+                    rows.append(main_text(Page(text or ""), t, set(k or ()), m))
                 out, n, slots = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in keep), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(slots, pa.int64())], names=[*keep, "__main", "__tokens", "__slots"])
 
@@ -283,7 +315,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     """pages with __main (its article), __tokens (template tokens that hold on it) and __slots (its slots with text)."""
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1))
     rows = pages.select("*", name.alias("__host"), F.col(html_col).alias("__html"))
-    made = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).select(F.col("host").alias("__host"), F.col("tokens").alias("__template"), F.col("linked").alias("__linked"))
+    made = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).select(F.col("host").alias("__host"), F.col("tokens").alias("__template"), F.col("linked").alias("__linked"), F.col("main").alias("__slot"))
     joined = C.looked_up(rows, made, ["__host"], "left")
     return joined.mapInArrow(_extracted(pages.columns), C.with_fields(pages, __main="string", __tokens="long", __slots="long"))
 

@@ -293,8 +293,31 @@ def test_mixing_counts(spark):
 
 
 def test_class_prior():
-    """The share of positives among unlabelled rows, found without a negative label; and the risk's gradient, by differences."""
+    """The share of positives among unlabelled rows, found without a negative label."""
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.85):
         u = np.where(rng.random(3000)[:, None] < share, rng.normal(2, 1, (3000, 4)), rng.normal(-2, 1, (3000, 4)))
         assert abs(quality.class_prior(rng.normal(2, 1, (1500, 4)), u) - share) < 0.06
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.95])
+def test_risk_gradient(prior):
+    """The step against differences of the risk, or of its negative part where that is below zero."""
+    rng = np.random.default_rng(8)
+    w = [rng.normal(0, 0.5, (3, 5)), rng.normal(0, 0.1, 5), rng.normal(0, 0.5, (5, 1)), np.zeros(1)]
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(-1 if prior > 0.5 else 0, 1, (60, 3))
+
+    def parts(w):
+        g = lambda x: (np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3])[:, 0]
+        negative = np.logaddexp(0, g(u)).mean() - prior * np.logaddexp(0, g(p)).mean()
+        return prior * np.logaddexp(0, -g(p)).mean(), negative
+
+    plus, negative = parts(w)
+    risk, grads = quality.gradient(w, p, u, prior)
+    assert risk == pytest.approx(plus + max(0, negative))
+    value = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+    for i, grad in enumerate(grads):
+        for at in list(np.ndindex(*w[i].shape))[:6]:
+            step = [x.copy() for x in w]
+            step[i][at] += 1e-6
+            assert (value(step) - value(w)) / 1e-6 == pytest.approx(grad[at], abs=1e-4)
