@@ -7,10 +7,11 @@ Classes with enough tokens and pages make the host's template, in the order of t
 on a page if its tokens stand there in that order, and nests if all of them lie in one slot of the classes before it. Text
 blocks that belong to the template itself are template text; the blocks between its tokens are slots.
 
-Template text is no article. Of the slots, those whose text, over the host, is mostly links are left out, and where no tag says
-which is the article, the host's main slot does: the innermost element that holds `MAIN` or more of the host's unlinked text.
-Tags and class names come before that where a page has them: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are left out, and where there is an `article` or `main`, only its blocks count, all of them.
+The host's main slot holds the article: the innermost path whose largest element on each page holds, over the host, `MAIN` or more
+of the unlinked text; on a page it is that element. Tags refine it: where the slot lies inside an `article` or `main`, that is taken
+whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it are left out by their
+tags and class names, and lists of links by their slot's share of links over the host. Pages of hosts without a template have
+only tags and names; without either, template text and lists of links go.
 Copies of a page are one page of their host: each counts for its share.
 
 Defined cases: null html counts as empty and gives empty text; pages of hosts with few pages, and null or odd urls (one host
@@ -37,7 +38,7 @@ from . import common as C
 #: Tokens and pages that a class needs, and its share of a host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.5
 #: Share of a text in links that makes a list of links of it; share of a host's unlinked text that the main slot holds.
-LINKED, MAIN = 0.5, 0.6
+LINKED, MAIN = 0.5, 0.75
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -194,8 +195,8 @@ class Page:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, kind, n, vector, chars, linked, page, place, copies) of each distinct token of a page; kind 2 is a slot's path, kind 3 an
-    element around text, with its depth as place, kind 4 the whole page."""
+    """(host, key, kind, n, vector, chars, linked, page, place, copies) of each distinct token of a page; kind 2 is a slot's path, kind 3 the
+    path of elements around text, with the largest one's characters and its depth as place, kind 4 the whole page."""
     for batch in batches:
         for a, b in C.text_chunks(batch.column(1)):
             rows: list[tuple] = []
@@ -215,7 +216,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [(name, p, 2, 1, 0, c, l, h, 0, copies) for p, (c, l) in chars.items()]
                 held: dict[tuple[int, int], int] = {}
                 for depth, key, _, _, c in page.elements:
-                    held[depth, key] = held.get((depth, key), 0) + c
+                    held[depth, key] = max(held.get((depth, key), 0), c)
                 if page.blocks:
                     held[0, 0] = sum(len(x[3]) - x[4] for x in page.blocks)
                 rows += [(name, k, 3 if depth else 4, 1, 0, c, 0, h, depth, copies) for (depth, k), c in held.items()]
@@ -278,15 +279,16 @@ def main_text(page: Page, tokens: list[dict] | None, linked: set[int], main: int
                 continue
             places = sorted({*places, *line})
             constant |= {t["key"] for t in members if t["kind"] == 1}
-    inside = any(b[5] and not b[6] for b in page.blocks)
-    held = {i for _, key, first, after, _ in page.elements if key == main for i in range(first, after)}
-    out = []
-    for i, (_, key, path, text, chars, article, left_out) in enumerate(page.blocks):
-        if left_out or inside and not article:
-            continue
-        if not inside and (key in constant or path in linked or held and i not in held or not tokens and chars > len(text) * LINKED):
-            continue
-        out.append(text)
+    named = {i for i, x in enumerate(page.blocks) if x[5] and not x[6]}
+    largest = max((e for e in page.elements if e[1] == main), key=lambda e: (e[4], -e[2]), default=None)
+    slot = {i for i in range(largest[2], largest[3]) if not page.blocks[i][6]} if largest else set()
+    if slot and not slot <= named:  # the template decides, also against the tags
+        chosen = {i for i in slot if page.blocks[i][2] not in linked}
+    elif named:  # the tags of the article around the slot, or alone
+        chosen = named
+    else:
+        chosen = {i for i, x in enumerate(page.blocks) if not x[6] and x[1] not in constant and x[2] not in linked and (tokens or x[4] <= len(x[3]) * LINKED)}
+    out = [page.blocks[i][3] for i in sorted(chosen)]
     slots = len({int(np.searchsorted(places, b[0])) for b in page.blocks if b[1] not in constant})
     return "\n".join(out), len(places), slots
 
