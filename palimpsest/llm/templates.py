@@ -8,7 +8,7 @@ on a page if its tokens stand there in that order, and nests if all of them lie
 blocks that belong to the template itself are template text; the blocks between its tokens are slots.
 
 The host's main slot holds the article: the innermost path whose largest element on each page holds, over the host, `MAIN` or more
-of the unlinked text; on a page it is that element. Tags refine it: where the slot lies inside an `article` or `main`, that is taken
+of the unlinked text, counted on pages of which it holds an eighth or more; on a page it is that element. Tags refine it: where the slot lies inside an `article` or `main`, that is taken
 whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it are left out by their
 tags and class names, and lists of links by their slot's share of links over the host. Pages of hosts without a template have
 only tags and names; without either, template text and lists of links go.
@@ -37,8 +37,9 @@ from . import common as C
 
 #: Tokens and pages that a class needs, and its share of a host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.5
-#: Share of a text in links that makes a list of links of it; share of a host's unlinked text that the main slot holds.
-LINKED, MAIN = 0.5, 0.75
+#: Share of a text in links that makes a list of links of it; share of a host's unlinked text that the main slot holds; share
+#: of a page's unlinked text from which on an element counts towards it.
+LINKED, MAIN, LEAST_HELD = 0.5, 0.75, 0.125
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -219,7 +220,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[depth, key] = max(held.get((depth, key), 0), c)
                 if page.blocks:
                     held[0, 0] = sum(len(x[3]) - x[4] for x in page.blocks)
-                rows += [(name, k, 3 if depth else 4, 1, 0, c, 0, h, depth, copies) for (depth, k), c in held.items()]
+                rows += [(name, k, 3 if depth else 4, 1, 0, c, 0, h, depth, copies) for (depth, k), c in held.items() if c >= LEAST_HELD * held[0, 0]]
             names = ["host", "key", "kind", "n", "vector", "chars", "linked", "page", "place", "copies"]
             kinds = (pa.string(), pa.int64(), pa.int32(), *(pa.int64(),) * 7)
             cols = zip(*rows, strict=True) if rows else ((),) * 10
