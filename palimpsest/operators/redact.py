@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import DIGITS, KEPT_PREFIXES, KINDS, MAX_CANDIDATES, ORDINAL, UNKNOWN_LABEL, VERSION, ZIP_THRESHOLD, Lineage, Policy, rule_print
-from ..sources.tables import scratch, written
+from ..sources.tables import beside, scratch, written
 from . import detect as D
 from . import vault as V
 
@@ -99,7 +99,7 @@ def _valued(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """spans with `value`, the text they cover. A text meets its spans once, as a list, not once for each of them."""
     names = [c for c in spans.columns if c != "record_id"]
     lists = spans.groupBy("record_id").agg(F.collect_list(F.struct(*names)).alias("xs"))
-    rows = lists.join(docs.select("record_id", T.chunks(F.col("text")).alias("ps")), "record_id")
+    rows = beside(lists, docs.select("record_id", T.chunks(F.col("text")).alias("ps")))
     with_value = F.transform("xs", lambda x: F.struct(*(x[c].alias(c) for c in names), T.part(F.col("ps"), x["start"], x["len"]).alias("value")))
     return rows.select("record_id", F.explode(with_value).alias("x")).select("record_id", "x.*")
 
@@ -129,7 +129,7 @@ def replaced(docs: DataFrame, spans: DataFrame, vault: DataFrame | None, policy:
 def splice(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with `redacted`: each span's text replaced, gaps copied."""
     lists = spans.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("start", "len", "replacement"))).alias("xs"))
-    rows = docs.join(lists, "record_id", "left")
+    rows = beside(docs, lists, how="left")
 
     def made(ps: Column) -> Column:
         end = lambda i: F.when(i == 0, 0).otherwise(F.get("xs", i - 1)["start"] + F.get("xs", i - 1)["len"])
@@ -162,7 +162,7 @@ def _resolved(docs: DataFrame, roster: DataFrame, detectors: Sequence[D.Detector
     """Spans, and the records (record_id) that have more candidates than the limit: they get none."""
     found = written(detect(docs, roster, detectors), "found")
     crowded = written(found.groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("record_id"), "crowded")
-    found = found.join(crowded, "record_id", "left_anti")
+    found = beside(found, crowded, how="left_anti")
     return resolve(D.birth_years(docs, found) if "recorded_on" in docs.columns else found, policy), crowded
 
 
@@ -192,7 +192,7 @@ def redact(docs: DataFrame, roster: DataFrame | None = None, vault: DataFrame |
 
 def _refused(docs: DataFrame, crowded: DataFrame, most: int) -> DataFrame:
     why = F.coalesce("refused", F.when(F.col("crowded"), f"more than {most} candidates"))
-    return docs.join(crowded.withColumn("crowded", F.lit(True)), "record_id", "left").withColumn("refused", why).drop("crowded")
+    return beside(docs, crowded.withColumn("crowded", F.lit(True)), how="left").withColumn("refused", why).drop("crowded")
 
 
 ROSTER = "record_id string, subject_id string, value string, kind string"
@@ -208,13 +208,13 @@ def manifest(out: DataFrame, applied: DataFrame, residue: DataFrame, policy: Pol
     detectors = detectors or [D.Patterns(lineage), D.KnownValues(lineage)]
     rows = out.select("record_id", F.length("text").alias("text_length"), T.digest(F.col("text")).alias("input_sha256"), T.digest(F.col("redacted")).alias("output_sha256"), "refused", *([F.year("recorded_on").alias("age_reference")] if "recorded_on" in out.columns else [F.lit(None).cast("int").alias("age_reference")]))
     for by in ("kind", "detector_id", "match"):
-        rows = rows.join(counted(applied, by), "record_id", "left")
+        rows = beside(rows, counted(applied, by), how="left")
     facts = applied.groupBy("record_id").agg(F.countDistinct(F.when(F.col("subject_id") != "", F.col("subject_id"))).alias("subjects"), F.count_if("ambiguous").alias("ambiguous_attributions"), F.array_sort(F.collect_set("unavailable")).alias("surrogates_unavailable"))
-    rows = rows.join(facts, "record_id", "left").join(residue.groupBy("record_id").agg(F.count("*").alias("residual_spans")), "record_id", "left")
+    rows = beside(beside(rows, facts, how="left"), residue.groupBy("record_id").agg(F.count("*").alias("residual_spans")), how="left")
     if people is None:
         rows = rows.withColumn("unrostered_people", F.lit(0).cast("long"))
     else:
-        rows = rows.join(people.groupBy("record_id").agg(F.count("*").alias("unrostered_people")), "record_id", "left")
+        rows = beside(rows, people.groupBy("record_id").agg(F.count("*").alias("unrostered_people")), how="left")
     rows = rows.fillna(0, ["subjects", "ambiguous_attributions", "residual_spans", "unrostered_people"]).withColumn("surrogates_unavailable", F.coalesce("surrogates_unavailable", F.array().cast("array<string>")))
     loaded = [(d.id, *d.rules()) for d in detectors]
     kept = [k for k in KINDS if policy.action(k) == "Keep"]

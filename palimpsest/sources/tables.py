@@ -58,6 +58,18 @@ def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by key to as many tasks as a shuffle has. Rows that are read from a small file, or were moved while they were
+    small, and are then grown by expressions are else worked on by the few tasks that fit the small bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def beside(a: DataFrame, b: DataFrame, on: str | list[str] = "record_id", how: str = "inner") -> DataFrame:
+    """a joined with b by record, never by a copy of b on the driver: tables that grow with the records are small files where their
+    columns repeat, so that Spark takes them for small tables."""
+    return a.join(b.hint("merge"), on, how)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A block whose written tables are deleted when it ends; what it returns must not read them."""
