@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import LISTS, Lineage, Policy
-from ..sources.tables import scratch, written
+from ..sources.tables import beside, scratch, written
 from . import detect as D
 from . import evaluate as E
 from . import redact as R
@@ -54,7 +54,9 @@ def readable_ids(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = N
     """Record and subject ids in which a detector finds something: they would carry what is removed elsewhere."""
     ids = docs.select("record_id", F.col("record_id").cast("string").alias("text")).unionByName(roster.select("record_id", F.col("subject_id").alias("text"))).distinct()
     keyed = ids.select(F.struct("record_id", "text").alias("record_id"), "text")
-    people = ids.join(roster.select("record_id", "value", "kind", "subject_id"), "record_id").select(F.struct("record_id", "text").alias("record_id"), "subject_id", "value", "kind")
+    # Whose a value is does not matter here: a record's ids meet each of its values once, not once for each of its subjects.
+    values = roster.select("record_id", F.lit("").alias("subject_id"), "value", "kind").distinct()
+    people = beside(ids, values).select(F.struct("record_id", "text").alias("record_id"), "subject_id", "value", "kind")
     found = D.patterns(keyed, lineage).unionByName(D.known_values(keyed, people))
     return found.where(f"confidence >= {Policy().min_confidence}").select("record_id.record_id", F.col("record_id.text").alias("id")).distinct()
 

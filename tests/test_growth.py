@@ -22,3 +22,12 @@ def test_records_are_never_copied_to_the_driver(spark):
     for found in (D.known_values(docs, roster), D.deny_list(docs, roster)):
         assert "Broadcast" not in plan(found)
         assert found.count() == docs.count()
+
+
+def test_ids_meet_a_value_once_whatever_its_subjects(spark, monkeypatch):
+    ids = spark.range(50).select(F.lit("ann").alias("record_id"))
+    roster = spark.range(50).select(F.lit("ann").alias("record_id"), F.concat(F.lit("s"), "id").alias("subject_id"), F.lit("Ann").alias("value"), F.lit("PatientName").alias("kind"))
+    met, known = [], D.known_values
+    monkeypatch.setattr(D, "known_values", lambda docs, people, *a: met.append(people.count()) or known(docs, people, *a))
+    assert [tuple(r) for r in K.readable_ids(ids, roster).collect()] == [("ann", "ann")]
+    assert met == [51]
