@@ -17,8 +17,12 @@ CONFIGURATIONS = {"full": ("known-values", "patterns"), "deny-list": ("deny-list
 
 def in_scope(docs: DataFrame, roster: DataFrame, lineage: Lineage) -> DataFrame:
     """(record_id, kind): the kinds that some rule finds, and those of the record's roster."""
-    rules = F.array(*map(F.lit, sorted({r.kind for r in lineage.compiled()[0]})))
-    return docs.select("record_id", F.explode(rules).alias("kind")).unionByName(roster.select("record_id", "kind")).distinct()
+    rules = F.array(*map(F.lit, sorted({r.kind for r in lineage.compiled()[0]}))).cast("array<string>")
+    rows = docs.select("record_id", F.lit(True).alias("read"), F.lit(None).cast("string").alias("kind")).unionByName(roster.select("record_id", F.lit(False).alias("read"), "kind"))
+    # A record is one row until its kinds are known: rows of kinds are never compared.
+    kinds = rows.groupBy("record_id").agg(F.max("read").alias("read"), F.collect_set("kind").alias("own"), F.max(~F.col("read") & F.col("kind").isNull()).alias("void"))
+    own = F.concat("own", F.when(F.col("void"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    return kinds.select("record_id", F.explode(F.array_union(F.when(F.col("read"), rules).otherwise(F.array().cast("array<string>")), own)).alias("kind"))
 
 
 def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Lineage | None = None) -> tuple[DataFrame, DataFrame]:

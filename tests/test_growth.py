@@ -31,3 +31,13 @@ def test_ids_meet_a_value_once_whatever_its_subjects(spark, monkeypatch):
     monkeypatch.setattr(D, "known_values", lambda docs, people, *a: met.append(people.count()) or known(docs, people, *a))
     assert [tuple(r) for r in K.readable_ids(ids, roster).collect()] == [("ann", "ann")]
     assert met == [51]
+
+
+def test_kinds_in_scope_compare_records_not_rows_of_kinds(spark):
+    docs = spark.createDataFrame([(1,), (1,), (2,)], "record_id long")
+    roster = spark.createDataFrame([(1, "PatientName"), (1, "Date"), (3, None), (3, "Phone")], "record_id long, kind string")
+    got = K.in_scope(docs, roster, Lineage())
+    rules = {r.kind for r in Lineage().compiled()[0]}
+    want = {(1, k) for k in rules | {"PatientName"}} | {(2, k) for k in rules} | {(3, None), (3, "Phone")}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert plan(got).index("Generate") < plan(got).index("Aggregate")
