@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .redact import islands
+from .redact import islands, unique
 
 Z = 1.959963984540054
 
@@ -17,7 +17,7 @@ Z = 1.959963984540054
 def united(spans: DataFrame, *by: str) -> DataFrame:
     """Intervals (record_id, *by, start, end) of spans, those that touch united as well."""
     key = F.struct("record_id", *by)
-    rows = islands(spans.select(key.alias("record_id"), "start", "len").distinct(), touching=True)
+    rows = islands(unique(spans.select(key.alias("record_id"), "start", "len")), touching=True)
     rows = rows.groupBy("record_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"))
     return rows.select("record_id.*", "start", "end")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import DIGITS, KEPT_PREFIXES, KINDS, MAX_CANDIDATES, ORDINAL, UNKNOWN_LABEL, VERSION, ZIP_THRESHOLD, Lineage, Policy, rule_print
-from ..sources.tables import beside, scratch, written
+from ..sources.tables import beside, scratch, spread, written
 from . import detect as D
 from . import vault as V
 
@@ -38,13 +38,18 @@ def islands(spans: DataFrame, touching: bool = False) -> DataFrame:
     return spans.withColumn("island", F.sum(F.when(before.isNull() | apart, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
+def unique(spans: DataFrame) -> DataFrame:
+    """Distinct spans, moved by record first: what a task holds is its share of the records, and islands need no further move."""
+    return spread(spans, "record_id").distinct()
+
+
 def resolve(candidates: DataFrame, policy: Policy | None = None) -> DataFrame:
     """One span for each island: (record_id, start, len, kind, detector_id, confidence, subject_id, match, ambiguous).
 
     The longest, then most confident candidate gives kind, detector and match. Those that cover the whole span say whose it is;
     without any, all candidates must agree."""
     policy = policy or Policy()
-    rows = islands(permitted(candidates, policy).distinct())
+    rows = islands(unique(permitted(candidates, policy)))
     group = W.partitionBy("record_id", "island")
     rows = rows.withColumn("lo", F.min("start").over(group)).withColumn("hi", F.max(F.col("start") + F.col("len")).over(group))
     rank = F.struct(-F.col("len"), -F.col("confidence"), F.col("start"), ordinal(F.col("kind")), F.coalesce("subject_id", F.lit("")), F.col("detector_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import checks as K
 from palimpsest.operators import detect as D
+from palimpsest.operators import redact as R
 from palimpsest.plans.sentences import sentences
 from palimpsest.rules import Lineage
 
@@ -41,3 +42,10 @@ def test_kinds_in_scope_compare_records_not_rows_of_kinds(spark):
     want = {(1, k) for k in rules | {"PatientName"}} | {(2, k) for k in rules} | {(3, None), (3, "Phone")}
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert plan(got).index("Generate") < plan(got).index("Aggregate")
+
+
+def test_distinct_spans_move_once_by_record(spark):
+    spans = spark.range(100).selectExpr("id % 7 AS record_id", "CAST(id % 5 AS int) AS start", "3 AS len")
+    found = R.islands(R.unique(spans))
+    assert plan(found).count("Exchange") == 1
+    assert found.count() == 35
