@@ -30,10 +30,10 @@ def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Linea
 
     Each detector runs once; a configuration is a choice among its candidates. A text beyond the limit has no spans."""
     lineage = lineage or Lineage()
-    whole = D.placed(D.guarded(docs))
-    docs = whole.where("refused IS NULL")
     spark = docs.sparkSession
     with scratch(spark):
+        whole = written(D.guarded(docs).withColumn("__long", F.col("refused").isNotNull()), "texts", by="__long")
+        docs = D.placed(whole.where("NOT __long").drop("__long"))
         wide = written(D.widened(roster, D.unlisted(docs, roster, lineage)), "roster")
         inside = written(gold.join(in_scope(docs, roster, lineage), ["record_id", "kind"], "left_semi"), "gold")
         parts = {"said": D.spoken_digits(docs)} | {d.id: d.detect(docs, wide) for d in (D.Patterns(lineage), D.KnownValues(lineage), D.DenyList(lineage))}
@@ -47,7 +47,7 @@ def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Linea
             own = found.where(F.col("part").isin("said", *chosen)).drop("part")
             own = D.birth_years(docs, own) if "recorded_on" in docs.columns else own
             spans = written(R.replaced(docs, R.resolve(own), None, Policy(), lineage), "spans")
-            out = written(R.splice(whole, spans).select("record_id", "text", "redacted"), "texts")
+            out = written(R.splice(docs, spans).select("record_id", "text", "redacted").unionByName(whole.where("__long").select("record_id", "text", F.col("text").alias("redacted"))), "texts")
             s = E.scores(inside, spans, out).withColumn("scope", F.lit("in")).unionByName(E.scores(gold, spans, out).withColumn("scope", F.lit("all"))).withColumn("configuration", F.lit(name))
             k = E.by_kind(gold, spans, out).withColumn("configuration", F.lit(name))
             scores, by_kind = s if scores is None else scores.unionByName(s), k if by_kind is None else by_kind.unionByName(k)

@@ -64,3 +64,13 @@ def test_numbers_parted_by_one_character(spark, tmp_path):
     assert got == duck_rows(ORACLES["detect_phone"], str(tmp_path)) and len(got[1]) == 7
     both = D.patterns(rows.select(F.col("doc_id").alias("record_id"), "text"), only=("phone-us",))
     assert sorted((r.record_id, r.start) for r in both.where("record_id < 3").collect()) == [(0, 1), (0, 12), (1, 0), (1, 11), (1, 22), (2, 0), (2, 16)]
+
+
+def test_refused_texts_do_not_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (2, " x" * 500_001)], "record_id long, text string")
+    moved, spliced = [], R.splice
+    monkeypatch.setattr(R, "splice", lambda d, spans: moved.append(d.count()) or spliced(d, spans))
+    out = R.redact(docs, find_relatives=False)
+    assert moved == [1]
+    assert {r.record_id: (len(r.text), r.redacted, r.refused) for r in out.documents.collect()} == {1: (12, "mail [EMAIL]", None), 2: (1_000_002, None, "more than 1000000 characters")}
+    assert {r.record_id: r.withheld for r in out.manifest.collect()} == {1: False, 2: True}
