@@ -103,35 +103,24 @@ def tokens(text: Column) -> Column:
     return bound(cut(F.coalesce(text, F.lit("")), WORD), made)
 
 
-def tokens_in(text: Column, wanted: Column) -> Column:
-    """array<struct<pos, start, len, word, gap>>: of the words those that are wanted, with their number in the text."""
-    numbered = lambda x: F.transform(x["h"], lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-
-    def made(x: Column) -> Column:
-        found = lambda s: F.transform(F.filter(numbered(x), lambda p: F.array_contains(wanted, p["w"])), lambda p: F.struct(p["i"].alias("pos"), F.get(s, p["i"]).alias("start"), F.length(p["w"]).alias("len"), p["w"].alias("word"), F.get(x["g"], p["i"] + 1).alias("gap")))
-        return bound(_starts(x["g"], x["h"]), found)
-
-    return bound(cut(F.coalesce(text, F.lit("")), WORD), made)
-
-
 def collapse(x: Column) -> Column:
     """Repeated neighbours become one, digits excepted."""
     return F.regexp_replace(x, r"(\P{Nd})\1+", "$1")
 
 
 #: The same rules for a word of ASCII letters, as literals: what follows a letter is given back. A caret marks the start.
-_ASCII_RULES = (
+ASCII_RULES = (
     ("ph", "F"), ("qu", "K"), ("q", "K"), ("ch", "CH"), ("ce", "Se"), ("ci", "Si"), ("c", "K"), ("ge", "Ye"), ("gi", "Yi"), *((f"y{v}", f"Y{v}") for v in "aeiou"),
 )
-_ASCII_DROPPED = "h" + "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
+ASCII_DROPPED = "h" + "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
 
 
 def _ascii_key(word: Column) -> Column:
     """Of a folded word."""
     out = word
-    for literal, to in _ASCII_RULES:
+    for literal, to in ASCII_RULES:
         out = F.replace(out, F.lit(literal), F.lit(to))
-    out = F.concat(F.lit("^"), F.translate(out, "yvwzj" + _ASCII_DROPPED, "IBBSY"))
+    out = F.concat(F.lit("^"), F.translate(out, "yvwzj" + ASCII_DROPPED, "IBBSY"))
     out = F.substring(F.replace(F.replace(out, F.lit("^x"), F.lit("^S")), F.lit("x"), F.lit("KS")), 2, 1 << 30)
     return collapse(F.lower(out))
 
@@ -146,12 +135,6 @@ def phonetic_key(word: Column) -> Column:
     return F.when(plain, _ascii_key(folded)).otherwise(collapse(F.lower(out)))
 
 
-def letters(key: Column) -> Column:
-    """A bit for each letter (of 64 classes) that stands in a key an odd number of times. An edit changes two bits at most."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))
-    return F.aggregate(F.split(key, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(bit(c))))
-
-
 def budget(a: Column, b: Column) -> Column:
     """Edits that keys of these lengths may differ by."""
     n = F.least(F.length(a), F.length(b))
