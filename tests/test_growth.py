@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.operators import checks as K
 from palimpsest.operators import detect as D
 from palimpsest.operators import redact as R
@@ -74,3 +75,14 @@ def test_refused_texts_do_not_move(spark, monkeypatch):
     assert moved == [1]
     assert {r.record_id: (len(r.text), r.redacted, r.refused) for r in out.documents.collect()} == {1: (12, "mail [EMAIL]", None), 2: (1_000_002, None, "more than 1000000 characters")}
     assert {r.record_id: r.withheld for r in out.manifest.collect()} == {1: False, 2: True}
+
+
+def test_texts_are_parted_without_a_pattern_for_each_row(spark):
+    texts = ["to Mesa, AZ 85004 and Flagstaff, Arizona", "\0to Mesa, AZ\0 to Mesa, AZ\0", "to", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "record_id long, text string")
+    found = D.patterns(docs, only=("city-us",))
+    assert "split(regexp_replace(" in plan(found)
+    assert sorted((r.record_id, r.start, r.len) for r in found.collect()) == [(0, 3, 4), (0, 22, 9), (1, 4, 4), (1, 17, 4)]
+    one = docs.where("record_id = 0").select(T.spans(F.lit("abcb"), "(?=a)|b").alias("s"))  # a hit without length stands first
+    assert [(x.start, x.value) for x in one.first().s] == [(1, "b"), (3, "b")]
+    assert docs.where("record_id = 0").select(T.to_digits(F.lit("Nine, zero two-one oh"), {"nine": "9", "zero": "0", "two": "2", "one": "1", "oh": "0"}).alias("d")).first().d == "90210"
