@@ -53,6 +53,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def folded_words(text: Column) -> Column:
+    """A text's words, folded. The text is folded whole, unless it holds a mark or a capital sigma, which hang on what stands beside
+    them: a mark may begin a word, and a sigma is written otherwise at a word's end."""
+    return F.when(F.regexp_like(text, F.lit(r"[\p{M}\x{3A3}]")), F.transform(words(text), fold)).otherwise(words(fold(text)))
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once, however often f names it."""
     return F.element_at(F.transform(F.array(value), f), 1)

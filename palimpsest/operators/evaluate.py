@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import spread, written
 from .redact import islands, unique
 
 Z = 1.959963984540054
@@ -158,20 +159,60 @@ def forms(names: DataFrame, heads: list[str] | None = None) -> DataFrame:
     return rows.select("name", folded(F.col("name")).alias("form")).unionByName(alone.select("name", folded(F.col("head")).alias("form"))).where("form <> ''").distinct()
 
 
+def _parts(known: list[str]) -> list[Column]:
+    """The known words in order, each with a bit of its own, in parts that fit a number."""
+    words = sorted(set(known))
+    parts = [words[at : at + 62] for at in range(0, len(words), 62)]
+    return [F.array(*(F.struct(F.lit(w).alias("w"), F.lit(1 << i).cast("long").alias("b")) for i, w in enumerate(part))) for part in parts]
+
+
+def _marked(words: Column, known: list[str]) -> list[Column]:
+    """Which of the known words are among `words`, a bit for each: bits are put together by a hash aggregate, sets are not."""
+    none = F.lit(0).cast("long")
+    return [F.when(F.size(words) == 0, none).otherwise(F.aggregate(part, none, lambda a, x: F.when(F.array_contains(words, x["w"]), a + x["b"]).otherwise(a))) for part in _parts(known)]
+
+
+def _told(bits: list[Column], known: list[str]) -> Column:
+    """The words that bits stand for, joined by commas."""
+    chosen = lambda part, m: F.transform(F.filter(part, lambda x: m.bitwiseAND(x["b"]) != 0), lambda x: x["w"])
+    return F.array_join(F.concat(F.array().cast("array<string>"), *(chosen(part, m) for part, m in zip(_parts(known), bits, strict=True))), ",")
+
+
+_YEARS = [str(y) for y in range(1900, 2100)]
+
+
 def linkage(docs: DataFrame, names: DataFrame, kinship: list[str], brackets: list[str], heads: list[str] | None = None) -> DataFrame:
     """(name, documents, signature, class_size): what texts with an invented name (docs: record_id, text; names: name, retired ones
-    too) still tell of it. A text meets the names it may hold once, as a list; only its facts go on."""
-    words = docs.select("record_id", F.transform(T.words(F.col("text")), T.fold).alias("ws"), T.fold(F.col("text")).alias("f"))
-    line = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("line")
-    years, kin = F.array_distinct(F.filter("ws", lambda w: F.regexp_like(w, F.lit("^(?:19|20)[0-9]{2}$")))), F.array_distinct(F.filter("ws", lambda w: w.isin(*kinship)))
-    facts = words.select("record_id", line, years.alias("years"), kin.alias("kin"), F.exists(F.array(*map(F.lit, brackets)), lambda b: F.contains(F.col("f"), b)).alias("age"))
-    wanted = forms(names, heads).withColumn("first", F.substring_index("form", " ", 1))
-    maybe = words.select("record_id", F.explode(F.array_distinct("ws")).alias("first")).join(wanted, "first").groupBy("record_id").agg(F.collect_list(F.struct("name", "form")).alias("xs"))
-    held = F.array_distinct(F.transform(F.filter("xs", lambda x: F.contains("line", F.concat(F.lit(" "), x["form"], F.lit(" ")))), lambda x: x["name"]))
-    hits = maybe.join(facts, "record_id").select("record_id", F.explode(held).alias("name"), "years", "kin", "age")
-    rows = hits.groupBy("name").agg(F.countDistinct("record_id").alias("documents"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("ys"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kin")))).alias("ks"), F.max("age").alias("age"))
-    rows = rows.withColumn("signature", F.concat_ws("|", F.array_join("ys", ","), F.col("age").cast("string"), F.array_join("ks", ",")))
-    return rows.join(rows.groupBy("signature").agg(F.count("*").alias("class_size")), "signature").select("name", "documents", "signature", "class_size")
+    too) still tell of it.
+
+    Rows of one record are read together. A name of one word is held wherever the word is, so that facts are summed up by word before
+    names meet them; only records that may hold a name of several words, or one with two forms, meet these as a list."""
+    wanted = written(forms(written(names.select("name").distinct(), "names"), heads), "forms")
+    single = (F.col("n") == 1) & ~F.contains("form", F.lit(" "))
+    kinds = wanted.groupBy("name").agg(F.count("*").alias("n"), F.min("form").alias("form"))
+    records = spread(docs.select("record_id", "text").where("record_id IS NOT NULL AND text IS NOT NULL"), "record_id").groupBy("record_id").agg(F.collect_list("text").alias("texts"))
+    aged = F.exists("texts", lambda t: T.bound(T.fold(t), lambda f: F.exists(F.array(*map(F.lit, brackets)).cast("array<string>"), lambda b: F.contains(f, b))))
+    rows = T.once(records, wss=F.transform("texts", T.folded_words), age=aged).drop("texts")
+    rows = T.once(rows, ws=F.array_distinct(F.flatten("wss")))
+    years, kin = F.filter("ws", lambda w: (F.length(w) == 4) & F.regexp_like(w, F.lit("^(?:19|20)[0-9]{2}$"))), F.filter("ws", lambda w: w.isin(*kinship))
+    rows = T.once(rows, years=years, kin=kin)
+    bits = {f"{n}{i}": c for n, known in (("y", _YEARS), ("k", kinship)) for i, c in enumerate(_marked(F.col("years" if n == "y" else "kin"), known))}
+    facts = T.once(rows, **bits)
+    summed = lambda by: by.agg(F.count("*").alias("documents"), *(F.bit_or(c).alias(c) for c in bits), F.max("age").alias("age"))
+    of_words = summed(facts.select(F.explode("ws").alias("form"), *bits, "age").groupBy("form"))
+    found = of_words.join(kinds.where(single).select("name", "form"), "form").select("name", "documents", *bits, "age")
+    others = wanted.join(kinds.where(~single).select("name"), "name", "left_semi")
+    if not others.isEmpty():
+        firsts = others.withColumn("first", F.substring_index("form", " ", 1))
+        maybe = facts.select("record_id", F.explode("ws").alias("first")).join(firsts, "first").groupBy("record_id").agg(F.collect_list(F.struct("name", "form")).alias("xs"))
+        lines = F.transform("wss", lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))).alias("lines")
+        held = F.filter("xs", lambda x: F.exists("lines", lambda line: F.contains(line, F.concat(F.lit(" "), x["form"], F.lit(" ")))))
+        hits = maybe.join(facts.select("record_id", lines, *bits, "age"), "record_id").select(F.explode(F.array_distinct(F.transform(held, lambda x: x["name"]))).alias("name"), *bits, "age")
+        found = found.unionByName(summed(hits.groupBy("name")))
+    told = lambda n, known: _told([F.col(c) for c in bits if c[0] == n], known)
+    signature = F.concat_ws("|", told("y", _YEARS), F.col("age").cast("string"), told("k", kinship))
+    found = written(found.select("name", "documents", signature.alias("signature")), "linked")
+    return found.join(found.groupBy("signature").agg(F.count("*").alias("class_size")), "signature").select("name", "documents", "signature", "class_size")
 
 
 def linkage_summary(exposed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import checks as K
 from palimpsest.operators import detect as D
+from palimpsest.operators import evaluate as E
 from palimpsest.operators import redact as R
 from palimpsest.plans.queries import ORACLES, QUERIES
 from palimpsest.plans.sentences import sentences
@@ -86,3 +87,14 @@ def test_texts_are_parted_without_a_pattern_for_each_row(spark):
     one = docs.where("record_id = 0").select(T.spans(F.lit("abcb"), "(?=a)|b").alias("s"))  # a hit without length stands first
     assert [(x.start, x.value) for x in one.first().s] == [(1, "b"), (3, "b")]
     assert docs.where("record_id = 0").select(T.to_digits(F.lit("Nine, zero two-one oh"), {"nine": "9", "zero": "0", "two": "2", "one": "1", "oh": "0"}).alias("d")).first().d == "90210"
+
+
+def test_linkage_sums_words_before_names_meet_them(spark):
+    texts = [(1, "Ana Roe stayed, Bo"), (1, "ana in 1999 with her niece"), (2, "BO in 2001, 1850 and 2001"), (2, None), (None, "Bo in 1950"), (3, "Caĺ is 90 or older"), (4, "ΟΔΟΣ.Α in 1905"), (5, "Ana of 2010")]
+    docs = spark.createDataFrame(texts, "record_id long, text string")
+    names = spark.createDataFrame([("Ana Roe",), ("Bo",), ("Bo",), ("Cál",), ("Cal",), ("ΟΔΟΣ",), ("Zoe",)], "name string")
+    got = sorted(tuple(r) for r in E.linkage(docs, names, ["niece", *(f"k{i}" for i in range(70))], ["90 or older"]).collect())
+    # Rows of a record are one text; the two spellings of a name are two names, and their heads nobody's.
+    assert got == [("Ana Roe", 2, "1999,2010|false|niece", 1), ("Bo", 2, "1999,2001|false|niece", 1), ("Cal", 1, "|true|", 2), ("Cál", 1, "|true|", 2), ("ΟΔΟΣ", 1, "1905|false|", 1)]
+    odd = spark.createDataFrame([("Él ́dit: ΟΔΟΣ.Α a'́b İstanbul l’été x́-y",), ("",), (None,), ("plain Words, ça va",)], "text string")
+    assert [tuple(r) for r in odd.select(T.folded_words(F.col("text"))).collect()] == [tuple(r) for r in odd.select(F.transform(T.words(F.col("text")), T.fold)).collect()]
