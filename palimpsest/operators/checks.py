@@ -25,8 +25,9 @@ def in_scope(docs: DataFrame, roster: DataFrame, lineage: Lineage) -> DataFrame:
     return kinds.select("record_id", F.explode(F.array_union(F.when(F.col("read"), rules).otherwise(F.array().cast("array<string>")), own)).alias("kind"))
 
 
-def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Lineage | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scores (configuration, record_id, ...), in scope and over all kinds, and (configuration, kind, ...) for each configuration.
+def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Lineage | None = None, kinds: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Scores (configuration, record_id, ...), in scope and over all kinds, and (configuration, kind, ...) for each configuration;
+    without `kinds` the latter, which a report does not read, is not worked out.
 
     Each detector runs once; a configuration is a choice among its candidates. A text beyond the limit has no spans."""
     lineage = lineage or Lineage()
@@ -49,9 +50,11 @@ def evaluate(docs: DataFrame, roster: DataFrame, gold: DataFrame, lineage: Linea
             spans = written(R.replaced(docs, R.resolve(own), None, Policy(), lineage), "spans")
             out = written(R.splice(docs, spans).select("record_id", "text", "redacted").unionByName(whole.where("__long").select("record_id", "text", F.col("text").alias("redacted"))), "texts")
             s = E.scores(inside, spans, out).withColumn("scope", F.lit("in")).unionByName(E.scores(gold, spans, out).withColumn("scope", F.lit("all"))).withColumn("configuration", F.lit(name))
-            k = E.by_kind(gold, spans, out).withColumn("configuration", F.lit(name))
-            scores, by_kind = s if scores is None else scores.unionByName(s), k if by_kind is None else by_kind.unionByName(k)
-        return written(scores, "scores", keep=True), written(by_kind, "kinds", keep=True)
+            scores = s if scores is None else scores.unionByName(s)
+            if kinds:
+                k = E.by_kind(gold, spans, out).withColumn("configuration", F.lit(name))
+                by_kind = k if by_kind is None else by_kind.unionByName(k)
+        return written(scores, "scores", keep=True), written(by_kind, "kinds", keep=True) if kinds else None
 
 
 def readable_ids(docs: DataFrame, roster: DataFrame, lineage: Lineage | None = None) -> DataFrame:

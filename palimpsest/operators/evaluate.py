@@ -16,11 +16,11 @@ Z = 1.959963984540054
 
 
 def united(spans: DataFrame, *by: str) -> DataFrame:
-    """Intervals (record_id, *by, start, end) of spans, those that touch united as well."""
-    key = F.struct("record_id", *by)
-    rows = islands(unique(spans.select(key.alias("record_id"), "start", "len")), touching=True)
-    rows = rows.groupBy("record_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"))
-    return rows.select("record_id.*", "start", "end")
+    """Intervals (record_id, *by, start, end) of spans, those that touch united as well. They stay dealt out by record, so that sums
+    and joins by record move nothing."""
+    rows = islands(unique(spans.select("record_id", *by, "start", "len")), touching=True, by=by)
+    rows = rows.groupBy("record_id", *by, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"))
+    return rows.select("record_id", *by, "start", "end")
 
 
 def overlap(a: DataFrame, b: DataFrame, on: list[str], *by: str) -> DataFrame:

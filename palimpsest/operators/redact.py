@@ -29,10 +29,10 @@ def permitted(candidates: DataFrame, policy: Policy) -> DataFrame:
     return candidates.where((F.col("confidence") >= policy.min_confidence) & (F.coalesce(F.element_at(_map(policy.actions), F.col("kind")), F.lit("Label")) != "Keep"))
 
 
-def islands(spans: DataFrame, touching: bool = False) -> DataFrame:
-    """Adds `island`: runs of spans of a record that overlap (or also touch)."""
+def islands(spans: DataFrame, touching: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Adds `island`: runs of spans of a record (and of equal columns `by`) that overlap (or also touch)."""
     order = ["start", F.desc("len"), F.desc("confidence"), ordinal(F.col("kind")), F.asc_nulls_first("subject_id"), "detector_id"] if "confidence" in spans.columns else ["start", F.desc("len")]
-    w = W.partitionBy("record_id").orderBy(*order)
+    w = W.partitionBy("record_id", *by).orderBy(*order)
     before = F.max(F.col("start") + F.col("len")).over(w.rowsBetween(W.unboundedPreceding, -1))
     apart = F.col("start") > before if touching else F.col("start") >= before
     return spans.withColumn("island", F.sum(F.when(before.isNull() | apart, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))

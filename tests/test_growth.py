@@ -98,3 +98,17 @@ def test_linkage_sums_words_before_names_meet_them(spark):
     assert got == [("Ana Roe", 2, "1999,2010|false|niece", 1), ("Bo", 2, "1999,2001|false|niece", 1), ("Cal", 1, "|true|", 2), ("Cál", 1, "|true|", 2), ("ΟΔΟΣ", 1, "1905|false|", 1)]
     odd = spark.createDataFrame([("Él ́dit: ΟΔΟΣ.Α a'́b İstanbul l’été x́-y",), ("",), (None,), ("plain Words, ça va",)], "text string")
     assert [tuple(r) for r in odd.select(T.folded_words(F.col("text"))).collect()] == [tuple(r) for r in odd.select(F.transform(T.words(F.col("text")), T.fold)).collect()]
+
+
+def test_united_spans_stay_with_their_records(spark):
+    spans = spark.range(100).selectExpr("id % 7 AS record_id", "CAST(id % 50 AS int) AS start", "3 AS len", "IF(id % 2 = 0, 'a', 'b') AS kind")
+    both = E.united(spans, "kind").groupBy("record_id").agg(F.sum(F.col("end") - F.col("start")).alias("n")).join(E.united(spans).groupBy("record_id").count().hint("merge"), "record_id")
+    assert plan(both).count("Exchange hashpartitioning") == 2
+    one = {(r.record_id, r.kind): [] for r in spans.collect()}
+    for r in sorted(spans.distinct().collect(), key=lambda r: r.start):
+        runs = one[r.record_id, r.kind]
+        if runs and r.start <= runs[-1][1]:
+            runs[-1][1] = r.start + 3
+        else:
+            runs.append([r.start, r.start + 3])
+    assert sorted((r.record_id, r.kind, r.start, r.end) for r in E.united(spans, "kind").collect()) == sorted((*k, *x) for k, v in one.items() for x in v)
