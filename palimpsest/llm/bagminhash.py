@@ -127,7 +127,7 @@ def _verify(k: int):
 
 def compared(edges: DataFrame, signed: DataFrame, text_col: str, k: int) -> DataFrame:
     """The edges (__a, __b: rows) with the overlap of their texts. Only texts that stand in an edge move."""
-    ids = C.written(edges.select(F.explode(F.array("__a", "__b")).alias("__row")).distinct(), "ids")
+    ids = C.written(C.few(edges.select(F.explode(F.array("__a", "__b")).alias("__row")).distinct()), "ids")
     texts = C.looked_up(signed.select("__row", F.col(text_col).alias("__t")), ids, ["__row"])
     a, b = texts.select(F.col("__row").alias("__a"), F.col("__t").alias("__ta")), texts.select(F.col("__row").alias("__b"), F.col("__t").alias("__tb"))
     return edges.join(a, "__a").join(b, "__b").select("__a", "__b", "__ta", "__tb").mapInArrow(_verify(k), "__a long, __b long, __sim double")
@@ -135,7 +135,7 @@ def compared(edges: DataFrame, signed: DataFrame, text_col: str, k: int) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """(__node, __comp): the smallest node that each node of a link reaches, by alternating large and small stars."""
-    edges = C.written(links.select(F.greatest("__a", "__b").alias("u"), F.least("__a", "__b").alias("v")).distinct(), "links")
+    edges = C.written(C.few(links.select(F.greatest("__a", "__b").alias("u"), F.least("__a", "__b").alias("v")).distinct()), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -143,7 +143,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = C.written(small, "links")
+        edges = C.written(C.few(small), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             break
@@ -204,7 +204,7 @@ def _blocks(threshold: float):
 def across(open_: DataFrame, signed: DataFrame, text_col: str, k: int, threshold: float) -> DataFrame:
     """Links between different classes inside large groups (__hub, __node, __comp, __n): block by block of about BLOCK members,
     so that a row stands for a member in a pair of blocks, not for a pair of members."""
-    ids = C.written(open_.select(F.col("__node").alias("__row")).distinct(), "ids")
+    ids = C.written(C.few(open_.select(F.col("__node").alias("__row")).distinct()), "ids")
     texts = C.looked_up(signed.select("__row", F.col(text_col).alias("__t")), ids, ["__row"])
     bags = texts.mapInArrow(_bags(k), "__row long, __bag binary").withColumnRenamed("__row", "__node")
     blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
@@ -226,16 +226,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if any(c.startswith("__") for c in docs.columns):
         raise ValueError("columns that begin with two underscores must be set apart first")
     signed = C.written(docs.mapInArrow(_signed(docs.columns.index(text_col), k, bands, rows), C.with_fields(docs, __row="long", __digest="binary", __bands="array<long>")), "signed")
-    nodes = C.written(signed.groupBy("__digest").agg(F.min("__row").alias("__node"), F.min(id_col).alias("__id")), "nodes")
+    nodes = C.written(C.few(signed.groupBy("__digest").agg(F.min("__row").alias("__node"), F.min(id_col).alias("__id"))), "nodes")
     buckets = C.written(signed.select("__row", "__bands").join(nodes.select(F.col("__node").alias("__row")), "__row", "left_semi").select(F.col("__row").alias("__node"), F.explode("__bands").alias("__bucket")).where("__bucket <> 0"), "buckets")
-    shared = C.written(buckets.groupBy("__bucket").agg(F.min("__node").alias("__hub"), F.count("*").alias("__n")).where("__n > 1").drop("__n"), "shared")
+    shared = C.written(C.few(buckets.groupBy("__bucket").agg(F.min("__node").alias("__hub"), F.count("*").alias("__n")).where("__n > 1").drop("__n")), "shared")
     near = buckets.join(shared, "__bucket").where("__node <> __hub").select("__hub", "__node").distinct()
     tested = C.written(compared(near.select(F.col("__hub").alias("__a"), F.col("__node").alias("__b")), signed, text_col, k), "tested")
-    comps = C.written(components(tested.where(F.col("__sim") >= threshold)), "components")
+    comps = C.written(C.few(components(tested.where(F.col("__sim") >= threshold))), "components")
     members = tested.select(F.col("__a").alias("__hub"), F.col("__b").alias("__node"), F.col("__sim").alias("__near"))
     members = members.unionByName(members.select("__hub", F.col("__hub").alias("__node"), F.lit(1.0).alias("__near")).distinct()).join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
     mixed = members.groupBy("__hub").agg(F.count("*").alias("__n"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__n > 2 AND __lo <> __hi").select("__hub", "__n")
-    open_ = C.written(C.looked_up(members, C.written(mixed, "mixed"), ["__hub"]), "open")
+    open_ = C.written(C.looked_up(members, C.written(C.few(mixed), "mixed"), ["__hub"]), "open")
     few = open_.where(F.col("__n") <= SMALL)
     right = few.select("__hub", F.col("__node").alias("__b"), F.col("__comp").alias("__other"), F.col("__near").alias("__far"))
     pairs = few.join(right, "__hub").where("__comp < __other").where(F.abs(F.col("__near") - F.col("__far")) <= 1 - threshold + 1e-9)
@@ -243,10 +243,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     more = compared(pairs, signed, text_col, k).unionByName(across(open_.where(F.col("__n") > SMALL), signed, text_col, k, threshold))
     more = C.written(more.where(F.col("__sim") >= threshold), "more")
     if not more.isEmpty():
-        comps = C.written(components(tested.where(F.col("__sim") >= threshold).unionByName(more)), "components")
+        comps = C.written(C.few(components(tested.where(F.col("__sim") >= threshold).unionByName(more))), "components")
     named = nodes.join(comps, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
     classes = named.groupBy("__comp").agg(F.min("__id").alias("__class"))
-    named = C.written(named.join(classes, "__comp").select("__digest", "__class", "__comp"), "classes")
+    named = C.written(C.few(named.join(classes, "__comp").select("__digest", "__class", "__comp")), "classes")
     return signed.join(named, "__digest").withColumn("__first", F.col("__row") == F.col("__comp"))
 
 

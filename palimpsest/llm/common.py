@@ -27,6 +27,12 @@ U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in at most three tasks for each core, for a light table that is written. A file of Hadoop's local file system takes several
+    child processes of an executor, and each of them shares the executor's memory, and is counted with it, until it runs its program."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def apart(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """df with its columns named by their places, so that no column of its own clashes with an operator's, and its names."""
     return df.toDF(*(f"_{i}" for i in range(len(df.columns)))), df.columns

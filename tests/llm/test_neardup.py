@@ -127,3 +127,25 @@ def test_main_text(spark):
         assert got[i]["__main"] == f"Head {i}\nFirst & bold text {i}.\nSecond part of {i}."
     assert got[100]["__main"] == got[101]["__main"] == "" and got[102]["__main"] == "plain\nunclosed"
     assert len(got[None]["__main"]) == 199_999
+
+
+def test_light_tables_are_few_files(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i % 40, 60) + (" x" if i % 3 == 0 else "")) for i in range(200)], "doc_id long, text string").repartition(40)
+    files, written = {}, C.written
+
+    def counted(df, tag, **more):
+        out = written(df, tag, **more)
+        files[tag] = max(files.get(tag, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "written", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert B.near_duplicates(docs).select("__class").distinct().count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    light = {k: files[k] for k in ("nodes", "shared", "ids", "links", "components", "mixed", "classes")}
+    assert max(light.values()) <= 3 * spark.sparkContext.defaultParallelism, light
