@@ -112,3 +112,33 @@ def test_united_spans_stay_with_their_records(spark):
         else:
             runs.append([r.start, r.start + 3])
     assert sorted((r.record_id, r.kind, r.start, r.end) for r in E.united(spans, "kind").collect()) == sorted((*k, *x) for k, v in one.items() for x in v)
+
+
+def test_a_text_is_moved_and_matched_once(spark):
+    docs = spark.createDataFrame([(1, "Ana Ruiz, ana ruis. Ana! Ruiz"), (2, "Bo"), (3, None)], "record_id long, text string")
+    roster = spark.createDataFrame([(1, "s", "Ana Ruiz", "PatientName"), (1, "t", "Ana", "PatientName"), (1, "u", "Ana", "PatientName"), (2, "s", "Ana", "PatientName")], "record_id long, subject_id string, value string, kind string")
+    found = D.known_values(docs, roster)
+    assert plan(found).count("SortMergeJoin") == 1
+    assert sorted((r.subject_id, r.start, r.len, r.match) for r in found.collect()) == [("s", 0, 8, "Exact"), ("s", 10, 8, "Phonetic"), *((s, at, 3, "Exact") for s in "tu" for at in (0, 10, 20))]
+
+
+#: For each rule a text that it finds, some in letters or white space that only Java takes for those of the rule.
+FOUND = """email a@b.com|email-spoken ann at mail dot com|url see HTTP\u017f://x|ipv4 at 1.2.3.4|phone-us 602-555-0147|ssn-us 123-45-6789|record-number MRN: 12345|zip-us zip 85004
+state-us in New\x0bYork|state-us W\u0131sconsin|state-us in Ala\u017fka|state-us Mesa,AZ|state-us AZ\x0b85004|city-us to Mesa, AZ|city-us to Mesa,\x0bArizona|street-us 12 North Oak St|street-us 12 1st Street|street-name-us Old\x0bMill Road
+street-mx Av. de la Reforma 12|po-box P.O. Box 12|po-box apartado\x0bpostal 7|date-numeric 1/2/2020|date-month-en May\x0b2, 2020|date-month-es 2 de mayo|date-words-en may the twenty first|date-words-en second of may
+date-words-es dos de ENERO|age-over-89 95 años|age-over-89-words ninety-one years old|age-over-89-said edad:\x0b91"""
+
+
+def test_cues_stand_wherever_a_rule_finds(spark):
+    cases = [x.split(" ", 1) for line in FOUND.split("\n") for x in line.split("|")]
+    assert {rule for rule, _ in cases} == {r.id for r in Lineage().compiled()[0]}
+    said = ["my number is five five five one two three four", "born in 1931", "Her m\u00e1dre, Ana Roe", "her SI\u017fTER\x0bAna", "nothing here", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in cases] + said)], "record_id long, text string").withColumn("recorded_on", F.lit("2026-01-01").cast("date"))
+    read = D.cued(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    hits = rows(D.patterns(docs))
+    assert {(i, f"pattern:{rule}") for i, (rule, _) in enumerate(cases)} <= {(h[0], h[4]) for h in hits}
+    none = spark.createDataFrame([], D.patterns(docs).schema)
+    for f in (D.patterns, D.spoken_digits, D.relatives, lambda d: D.birth_years(d, none)):
+        assert rows(f(read)) == rows(f(docs)) != []
+    assert {r.record_id for r in read.where(f"{D.CUED} = 0").collect()} >= {len(cases) + 4, len(cases) + 5, len(cases) + 6}
